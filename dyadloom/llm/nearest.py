@@ -200,6 +200,8 @@ def _stream(make, k: int, kind: str):
                     ids.append(vec_id[lo:hi])
                     parts.append(matrix(batch.column(3).slice(lo, hi - lo)))
                     continue
+                if tree is None and not ids:  # queries of a dimension in which this shard has no vectors
+                    continue
                 if tree is None:
                     every = np.concatenate(ids)
                     new = np.concatenate([[True], every[1:] != every[:-1]])  # repeated ids: the first

@@ -160,14 +160,18 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(_features(found) @ np.array(self.weights), -30, 30)))
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """The middle of the gap at which F1 is largest."""
+def _threshold(z: np.ndarray, y: np.ndarray, none: float) -> float:
+    """The middle of the gap at which F1 is largest, always above ``none``, where a text
+    without evidence stands."""
     order = np.argsort(-z, kind="stable")
     hit, z = np.cumsum(y[order]), z[order]
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
     ends = np.flatnonzero(np.append(z[1:] != z[:-1], True))
+    ends = ends[z[ends] > none + 1e-9]
+    if not len(ends):
+        return none + 1
     best = ends[int(np.argmax(f1[ends]))]
-    return float(z[best] if best + 1 == len(z) else (z[best] + z[best + 1]) / 2)
+    return float((z[best] + max(none, z[best + 1] if best + 1 < len(z) else none)) / 2)
 
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
@@ -195,7 +199,7 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     x, y = _features(np.array(found)), np.array(y)
     w = _logistic(x, y)
     w[1:] = np.maximum(w[1:], 1e-3)  # more evidence never lowers a score
-    w[0] += np.log(CUT / (1 - CUT)) - _threshold(x @ w, y)
+    w[0] += np.log(CUT / (1 - CUT)) - _threshold(x @ w, y, float(w[0]))
     return Model(*dictionaries(toxic, ordinary), tuple(map(float, w)))
 
 
