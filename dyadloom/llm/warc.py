@@ -157,7 +157,7 @@ def read_archives(chunks: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least: int = 0, chunk: int = CHUNK) -> DataFrame:
-    return read_archives(settle(archive_pages(pages, least, chunk), "warc"))
+    return read_archives(settle(archive_pages(pages, least, chunk), "warc", "zstd"))
 
 
 def export(chunks: DataFrame, folder: str) -> DataFrame:
