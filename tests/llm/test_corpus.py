@@ -319,3 +319,92 @@ def test_pipeline_stages_agree_with_their_operators(spark):
         if k in (2, 4):
             assert docs.count() == before
     assert docs.count() > 0
+
+
+def _plain_prints(texts):
+    out = np.zeros(len(texts), np.uint64)
+    for n, text in enumerate(texts):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        parts = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))] if words else []
+        h = np.array([xxhash.xxh64_intdigest(p.encode(), 42) for p in parts], np.uint64)
+        out[n] = sum(1 << b for b in range(64) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
+    return out
+
+
+def _plain_copies(rows, quality):
+    """doc_id -> how often the mix takes it, source by source."""
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in rows}
+    of = {}
+    for r in rows:
+        of.setdefault(r.source, []).append(r.doc_id)
+    size = {s: sum(words[i] for i in ids) for s, ids in of.items()}
+    named = [*sorted(s for s in of if s is not None), *([None] if None in of else [])]
+    left, want = {s: (3, 1, 2)[k % 3] for k, s in enumerate(named)}, {}
+    while left:
+        level = (1.5 * sum(size.values()) - sum(want.values())) / sum(left.values())
+        full = [s for s, w in left.items() if level * w > 2 * size[s]] or None
+        for s in full or list(left):
+            want[s] = 2.0 * size[s] if full else level * left[s]
+            del left[s]
+    copies = {}
+    for s, ids in of.items():
+        def key(i):
+            u = (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+            return -math.log(u) / quality.get(i, mixing.UNKNOWN)
+
+        epochs, ahead = math.floor(want[s] / size[s]) if size[s] else 0, 0
+        for i in sorted(ids, key=lambda i: (key(i), i)):
+            copies[i] = epochs + (ahead + words[i] / 2 < want[s] - epochs * size[s])
+            ahead += words[i]
+    return copies
+
+
+def test_pipeline_against_plain_versions(spark):
+    import corpus_pipeline
+    from dyadloom.llm.common import settle
+
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    frames = [spark.read.parquet(f"{sf}/documents.parquet")]
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        frames.append(settle(stage(spark, frames[-1], sf), f"test-{k}"))
+    rows = [f.collect() for f in frames]
+    ids = [sorted(r.doc_id for r in part) for part in rows]
+
+    model = toxicity.train(*toxicity.sample(frames[0], labels))
+    own = toxicity.Comparer(model.toxic, model.ordinary)
+    score = lambda t: model.scores(np.array([own.evidence((t or "").encode())]))[0]
+    assert ids[1] == sorted(r.doc_id for r in rows[0] if score(r.text) < 0.7)
+    assert len(ids[1]) < len(ids[0])
+
+    prints, left, want = _plain_prints([r.text for r in rows[1]]), set(range(len(rows[1]))), []
+    while left:
+        todo, group = [left.pop()], []
+        while todo:
+            group.append(k := todo.pop())
+            near = set(np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= 2).tolist()) & left
+            left -= near
+            todo += near
+        want.append(min(rows[1][k].doc_id for k in group))
+    assert ids[2] == sorted(want) and len(want) < len(rows[1])
+
+    before = {r.doc_id: r for r in rows[2]}
+    mails = lambda part: {m.lower() for r in part for m in re.findall(r"[A-Za-z0-9.]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", r.text or "")}
+    assert ids[3] == ids[2] and mails(rows[2]) and not mails(rows[2]) & mails(rows[3])
+    for r in rows[3]:
+        assert (r.lang, r.source) == (before[r.doc_id].lang, before[r.doc_id].source)
+    assert 0 < sum(r.text != before[r.doc_id].text for r in rows[3]) < len(rows[3])
+
+    marks = {}
+    for r in labels.filter("quality is not null").collect():
+        marks.setdefault(r.doc_id, []).append(r.quality)
+    quality = {i: mixing.POOR + (mixing.GOOD - mixing.POOR) * sum(q) / len(q) for i, q in marks.items()}
+    assert ids[4] == sorted(i for i, n in _plain_copies(rows[3], quality).items() for _ in range(n))
+
+    tokenizer = bpe.Codec(bpe.public_vocabulary()).tokenizer
+    want = []
+    for r in rows[4]:
+        got = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        text = tokenizer.decode(got, skip_special_tokens=False)
+        want.append((r.doc_id, len(got), hashlib.sha256(",".join(map(str, got)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+    assert sorted(map(tuple, rows[5])) == sorted(want)
