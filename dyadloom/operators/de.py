@@ -12,42 +12,49 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 
-def shares(expr: DataFrame, cells: DataFrame) -> DataFrame:
-    """(gene, grp, pct_1, pct_2, logfc): share of cells with a value within and outside a
-    group, and the difference of log mean exp."""
-    stored = expr.join(cells, "cell").filter("value <> 0")
-    one = stored.groupBy("gene", "grp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expm1("value")).alias("s"))
-    genes = one.groupBy("gene").agg(F.sum("k").alias("k_all"), F.sum("s").alias("s_all"))
-    sizes = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
-    every = sizes.agg(F.sum("n").alias("n_all"))
-    grid = sizes.join(F.broadcast(every)).join(F.broadcast(genes)).join(one, ["gene", "grp"], "left").na.fill(0, ["k"]).na.fill(0.0, ["s"])
-    rest = F.col("n_all") - F.col("n")
+def shares(expr: DataFrame, cells: DataFrame, within: tuple[str, ...] = (), log: bool = True) -> DataFrame:
+    """(gene, *within, grp, pct_1, pct_2, logfc): share of cells with a value within and
+    outside a group, and the difference of log mean exp, or of plain means without
+    ``log``. ``within`` names columns of cells that keep comparisons apart."""
+    keys = ["gene", *within]
+    stored = expr.join(cells.select("cell", "grp", *within), "cell").filter("value <> 0")
+    one = stored.groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expm1("value") if log else F.col("value")).alias("s"))
+    genes = one.groupBy(*keys).agg(F.sum("k").alias("k_all"), F.sum("s").alias("s_all"))
+    grid = _sized(cells, within).join(F.broadcast(genes), list(within) or None).join(one, [*keys, "grp"], "left").na.fill(0, ["k"]).na.fill(0.0, ["s"])
+    rest, last = F.col("n") - F.col("n1"), (lambda m: F.ln(m + 1)) if log else (lambda m: m)
     return grid.select(
-        "gene", "grp", F.round(F.col("k") / F.col("n"), 3).alias("pct_1"), F.round((F.col("k_all") - F.col("k")) / rest, 3).alias("pct_2"),
-        (F.ln(F.col("s") / F.col("n") + 1) - F.ln((F.col("s_all") - F.col("s")) / rest + 1)).alias("logfc"),
+        *keys, "grp", F.round(F.col("k") / F.col("n1"), 3).alias("pct_1"), F.round((F.col("k_all") - F.col("k")) / rest, 3).alias("pct_2"),
+        (last(F.col("s") / F.col("n1")) - last((F.col("s_all") - F.col("s")) / rest)).alias("logfc"),
     )
 
 
-def rank_sums(expr: DataFrame, cells: DataFrame) -> DataFrame:
-    """(gene, grp, n1, n2, w, z): the rank sum of a group against the rest, with tie and
-    continuity corrections. Zeros are one block of ties at the low end."""
-    stored = expr.join(cells, "cell").filter("value > 0")
-    sizes = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("n1"))
-    every = cells.agg(F.count(F.lit(1)).alias("n"))
-    values = stored.groupBy("gene", "value").agg(F.count(F.lit(1)).alias("t"))
-    ahead = Window.partitionBy("gene").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    tied = values.withColumn("below", F.coalesce(F.sum("t").over(ahead), F.lit(0))).withColumn("nnz", F.sum("t").over(Window.partitionBy("gene"))).join(F.broadcast(every))
+def _sized(cells: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """(*within, grp, n1, n): cells of each group, and of all that it is compared with."""
+    sizes = cells.groupBy(*within, "grp").agg(F.count(F.lit(1)).alias("n1"))
+    return sizes.withColumn("n", F.sum("n1").over(Window.partitionBy(*within)))
+
+
+def rank_sums(expr: DataFrame, cells: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(gene, *within, grp, n1, n2, w, z): the rank sum of a group against the rest, with
+    tie and continuity corrections. Zeros are one block of ties at the low end."""
+    keys = ["gene", *within]
+    stored = expr.join(cells.select("cell", "grp", *within), "cell").filter("value > 0")
+    sizes = _sized(cells, within)
+    every = sizes.select(*within, "n").distinct()
+    values = stored.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("t"))
+    ahead = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    tied = values.withColumn("below", F.coalesce(F.sum("t").over(ahead), F.lit(0))).withColumn("nnz", F.sum("t").over(Window.partitionBy(*keys))).join(F.broadcast(every), list(within) or None)
     tied = tied.withColumn("zeros", F.col("n") - F.col("nnz")).withColumn("rank", F.col("zeros") + F.col("below") + (F.col("t") + 1) / 2)
     cube = lambda c: c * c * c - c
-    genes = tied.groupBy("gene").agg(F.max("zeros").alias("zeros"), F.sum(cube(F.col("t").cast("double"))).alias("ties"))
-    sums = stored.join(tied.select("gene", "value", "rank"), ["gene", "value"]).groupBy("gene", "grp").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("k"))
-    grid = sizes.join(F.broadcast(every)).join(F.broadcast(genes)).join(sums, ["gene", "grp"], "left").na.fill(0.0, ["r"]).na.fill(0, ["k"])
+    genes = tied.groupBy(*keys).agg(F.max("zeros").alias("zeros"), F.sum(cube(F.col("t").cast("double"))).alias("ties"))
+    sums = stored.join(tied.select(*keys, "value", "rank"), [*keys, "value"]).groupBy(*keys, "grp").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("k"))
+    grid = sizes.join(F.broadcast(genes), list(within) or None).join(sums, [*keys, "grp"], "left").na.fill(0.0, ["r"]).na.fill(0, ["k"])
     n1, n2, n = F.col("n1"), F.col("n") - F.col("n1"), F.col("n").cast("double")
     w = F.col("r") + (n1 - F.col("k")) * (F.col("zeros") + 1) / 2 - n1 * (n1 + 1) / 2
     ties = F.col("ties") + cube(F.col("zeros").cast("double"))
     var = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))
     z = w - n1 * n2 / 2.0
-    return grid.select("gene", "grp", n1.alias("n1"), n2.alias("n2"), w.alias("w"), F.when(var > 0, (z - 0.5 * F.signum(z)) / F.sqrt(var)).alias("z"))
+    return grid.select(*keys, "grp", n1.alias("n1"), n2.alias("n2"), w.alias("w"), F.when(var > 0, (z - 0.5 * F.signum(z)) / F.sqrt(var)).alias("z"))
 
 
 @pandas_udf(DoubleType())
@@ -81,6 +88,24 @@ def markers(expr: DataFrame, cells: DataFrame, n_genes: int, thresh_pc: float =
     return tested.withColumn("pvalues_adj", F.least(F.lit(1.0), F.col("pvalues") * n_genes)).withColumn("rnk", F.row_number().over(Window.partitionBy("grp").orderBy("pvalues", F.desc("logfc"), "gene")))
 
 
+def quick_markers(expr: DataFrame, cells: DataFrame, thresh_pc: float = 0.0, thresh_fc: float = 0.0, thresh_p: float = 0.05, only_pos: bool = True) -> DataFrame:
+    """Marker rows by differences of means, shares as percentages and the normal
+    approximation; (gene, grp, logfc, pct_1, pct_2, z, pvalues)."""
+    found = shares(expr, cells, log=False).withColumn("pct_1", F.col("pct_1") * 100).withColumn("pct_2", F.col("pct_2") * 100)
+    found = found.filter((F.greatest("pct_1", "pct_2") > thresh_pc * 100) & (F.abs("logfc") >= thresh_fc))
+    tested = found.join(rank_sums(expr, cells).select("gene", "grp", "z"), ["gene", "grp"]).withColumn("pvalues", two_sided(F.col("z"))).filter(F.col("pvalues") < thresh_p)
+    return tested.filter("logfc > 0") if only_pos else tested
+
+
+def dataset_markers(expr: DataFrame, cells: DataFrame, positive, by: str = "sample", combined: bool = False) -> DataFrame:
+    """(gene, grp, pct_1, pct_2, logfc, z, pvalues, positive) of the cells of one dataset
+    against the others, group by group, or once for all groups with ``combined``."""
+    own = cells.select("cell", F.lit("all").alias("cluster") if combined else F.col("grp").alias("cluster"), (F.col(by) == positive).alias("grp"))
+    both = shares(expr, own, ("cluster",)).filter("grp").join(rank_sums(expr, own, ("cluster",)).filter("grp"), ["gene", "cluster", "grp"])
+    out = both.select("gene", F.col("cluster").alias("grp"), "pct_1", "pct_2", "logfc", "z", two_sided(F.col("z")).alias("pvalues"), (F.col("logfc") > 0).alias("positive"))
+    return out.drop("grp").join(F.broadcast(cells.select("grp").distinct())) if combined else out
+
+
 def expressed(expr: DataFrame, min_cells: int = 10) -> DataFrame:
     return expr.filter("value > 0").groupBy("gene").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_cells)
 

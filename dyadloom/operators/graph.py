@@ -172,6 +172,18 @@ def functional_similarity(netp: DataFrame) -> DataFrame:
     return sized.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("value"))
 
 
+def similarity_between(netp: DataFrame) -> DataFrame:
+    """(a, b, value) between the pathways of all datasets, named pathway--dataset."""
+    return functional_similarity(netp.withColumn("pathway_name", F.concat_ws("--", "pathway_name", F.col("dataset").cast("string"))))
+
+
+def rank_similarity(places: DataFrame, first=0, second=1) -> DataFrame:
+    """(pathway_name, distance) between a pathway's ``dims`` in two datasets."""
+    one, two = (places.filter(F.col("dataset") == k).select("pathway_name", F.col("dims").alias(n)) for k, n in ((first, "p"), (second, "q")))
+    squares = F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+    return one.join(two, "pathway_name").select("pathway_name", F.sqrt(squares).alias("distance"))
+
+
 def snn(neighbours: DataFrame, k: int, prune: float = 1 / 15) -> DataFrame:
     """(i, j, w) of (node, neighbour), k of them a node and itself among them."""
     a, b = neighbours.select(F.col("node").alias("i"), "neighbour"), neighbours.select(F.col("node").alias("j"), "neighbour")

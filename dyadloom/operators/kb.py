@@ -57,6 +57,16 @@ def lr_from_genes(lr: DataFrame, complexes: DataFrame, genes) -> DataFrame:
     return found.join(lr, "lr_ix").withColumn("ord", F.row_number().over(Window.orderBy("side", "lr_ix"))).drop("side")
 
 
+def gene_subset(names: DataFrame, complexes: DataFrame, official: DataFrame) -> DataFrame:
+    """(gene, ord) of (name, ord): official symbols as they come, then the members of the
+    other names, all first members before all second ones."""
+    symbols = official.select(F.col("symbol").alias("name")).distinct()
+    own = names.join(symbols, "name", "left_semi").select(F.col("name").alias("gene"), F.lit(0).alias("k"), F.lit(0).alias("pos"), "ord")
+    parts = names.join(symbols, "name", "left_anti").join(F.broadcast(complexes.filter("member <> ''")), "name").select(F.col("member").alias("gene"), F.lit(1).alias("k"), "pos", "ord")
+    first = own.unionByName(parts).groupBy("gene").agg(F.min(F.struct("k", "pos", "ord")).alias("at"))
+    return first.select("gene", F.row_number().over(Window.orderBy("at")).alias("ord"))
+
+
 def check_symbols(genes: DataFrame, official: DataFrame) -> DataFrame:
     return genes.join(official.select(F.col("symbol").alias("gene")), "gene", "left_anti")
 

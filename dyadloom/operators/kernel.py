@@ -10,6 +10,9 @@ from ..functions.transforms import hill, normalize, scale_by_max
 from ..sources.adapters import Study
 
 
+DIFFUSIBLE = ("Secreted Signaling", "ECM-Receptor", "Non-protein Signaling")
+
+
 class MissingMember(ValueError):
     """A ligand or receptor has a part that is not measured."""
 
@@ -64,11 +67,22 @@ def pair_strengths(values: DataFrame, fractions: DataFrame | None, kh: float, n:
     prob = p1 * (F.col("ag_a") * F.col("ag_b")) * (F.col("an_a") * F.col("an_b")) * (F.col("f_a") * F.col("f_b"))
     pairs = a.join(b, keys)
     if spatial is not None:
-        pairs = pairs.join(F.broadcast(spatial), ["src", "tgt"])
+        by_pair = "lr_ix" in spatial.columns
+        pairs = pairs.join(spatial if by_pair else F.broadcast(spatial), ["lr_ix", "src", "tgt"] if by_pair else ["src", "tgt"])
         prob = prob * F.col("weight")
     return pairs.select(*keys, "src", "tgt", prob.alias("prob"))
 
 
+def contact_weights(lr: DataFrame, spatial: DataFrame, contact_dependent: bool = True, forced: bool = False) -> DataFrame:
+    """(lr_ix, src, tgt, weight) of ``spatial`` (src, tgt, weight, contact): interactions
+    after the last diffusible one act between groups in contact only; with ``forced``
+    all do, without ``contact_dependent`` none."""
+    last = lr.agg(F.coalesce(F.max(F.when(F.col("annotation").isin(*DIFFUSIBLE), F.col("lr_ix"))), F.lit(0)).alias("last"))
+    touching = F.lit(True) if forced else (F.col("lr_ix") > F.col("last")) if contact_dependent else F.lit(False)
+    grid = lr.select("lr_ix").join(F.broadcast(last)).join(F.broadcast(spatial))  # interactions times pairs of groups
+    return grid.select("lr_ix", "src", "tgt", (F.col("weight") * F.when(touching, F.col("contact")).otherwise(1)).alias("weight"))
+
+
 def permutations(cells: DataFrame, nboot: int) -> DataFrame:
     """(b, cell, grp): labels dealt anew by the order of a hash of cell and replicate.
 

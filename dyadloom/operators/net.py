@@ -145,6 +145,30 @@ def compare_flow(netp: DataFrame) -> DataFrame:
     return wide.withColumn("ratio", F.when(F.col("flow_0") > 0, F.col("flow_1") / F.col("flow_0")))
 
 
+def signed_rank(netp: DataFrame) -> DataFrame:
+    """(pathway_name, n, v, z, zeros, tied) of ``netp`` with ``dataset`` 0 or 1: the paired
+    test of all pairs of groups, z with tie and continuity corrections. Equal strengths
+    are left out, as ``zeros`` tells."""
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("dataset") == k, F.col("prob"))), F.lit(0.0))
+    d = netp.groupBy("pathway_name", "src", "tgt").agg(F.round(of(1) - of(0), 9).alias("d"))
+    size = F.abs("d")
+    live = d.filter("d <> 0")
+    tie = F.count(F.lit(1)).over(Window.partitionBy("pathway_name", size))
+    ranked = live.withColumn("t", tie).withColumn("r", F.rank().over(Window.partitionBy("pathway_name").orderBy(size)) + (F.col("t") - 1) / 2)
+    each = ranked.groupBy("pathway_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("v"), F.sum(F.col("t") * F.col("t") - 1).cast("double").alias("ties"))
+    n = F.col("n").cast("double")
+    gap, var = F.col("v") - n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    zeros = d.groupBy("pathway_name").agg(F.count_if(F.col("d") == 0).alias("zeros"))
+    out = each.select("pathway_name", "n", "v", ((gap - 0.5 * F.signum(gap)) / F.sqrt(var)).alias("z"), (F.col("ties") > 0).alias("tied"))
+    return out.join(zeros, "pathway_name").select("pathway_name", "n", "v", "z", "zeros", "tied")
+
+
+def heatmap(agg: DataFrame, measure: str = "weight") -> DataFrame:
+    """(src, tgt, value, sent, received): a matrix and the sums of its rows and columns."""
+    total = lambda side: F.sum(measure).over(Window.partitionBy(side))
+    return agg.select("src", "tgt", F.col(measure).alias("value"), total("src").alias("sent"), total("tgt").alias("received"))
+
+
 def compare_totals(agg: DataFrame) -> DataFrame:
     return agg.groupBy("dataset").agg(F.sum("count").alias("count"), F.sum("weight").alias("weight"))
 

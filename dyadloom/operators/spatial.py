@@ -68,9 +68,16 @@ def weights(regions: DataFrame, scale: float = 0.01, use_distance: bool = True)
     return raw.select("src", "tgt", F.when(F.col("src") == F.col("tgt"), F.max("w").over(Window.partitionBy())).otherwise(F.coalesce("w", F.lit(0.0))).alias("weight"))
 
 
-def contact_overlap(cells: DataFrame, k: int, reach: float, k_min: int = 1) -> DataFrame:
-    """(src, tgt, adjacent): whether enough nearest cells of another group within reach
-    are among the k nearest of all."""
-    close = knn(cells, k).select("sample", F.col("node").alias("i"), F.col("neighbour").alias("nn"))
-    hits = nearest(cells).filter(F.col("d") <= reach).join(close, ["sample", "i", "nn"])
-    return hits.groupBy(F.col("a").alias("src"), F.col("b").alias("tgt")).agg((F.countDistinct("nn") >= k_min).cast("int").alias("adjacent"))
+def contact_overlap(cells: DataFrame, k: int, reach: float, k_min: int = 1, tol: float = 0.0) -> DataFrame:
+    """(src, tgt, adjacent) for every pair of groups: 1 where, in some sample and both
+    ways, enough of the other group's nearest cells within reach are among the k nearest
+    of any cell of the group."""
+    near = nearest(cells)
+    close = knn(cells, k).join(cells.select("sample", F.col("cell").alias("node"), F.col("grp").alias("a")), ["sample", "node"])
+    close = close.select("sample", "a", F.col("neighbour").alias("nn")).distinct()
+    hits = near.filter(F.col("d") - reach < tol).select("sample", "a", "b", "nn").distinct().join(close, ["sample", "a", "nn"])
+    each = hits.groupBy("sample", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k_min)
+    found = each.select("a", "b").distinct()
+    both = found.join(found.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).withColumn("hit", F.lit(1))
+    every = near.select("a", "b").distinct().join(both, ["a", "b"], "left")
+    return every.select(F.col("a").alias("src"), F.col("b").alias("tgt"), F.coalesce("hit", F.lit(0)).alias("adjacent"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import cache
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import transforms as T
@@ -417,6 +417,95 @@ def region_distance(spark, sf_dir):
     return spatial.region_distances(adapters.spatial(spark, sf_dir), 60.0, k_min=3)
 
 
+@query
+def contact_overlap(spark, sf_dir):
+    return spatial.contact_overlap(adapters.spatial(spark, sf_dir), 5, 60.0, k_min=2)
+
+
+@query
+def spatial_weight(spark, sf_dir):
+    return spatial.weights(spatial.region_distances(adapters.spatial(spark, sf_dir), 60.0, k_min=3))
+
+
+@query
+def commun_prob_contact(spark, sf_dir):
+    s = _study(spark, sf_dir)
+    ends = s.cells.select(F.col("grp").alias("src")).distinct().join(F.broadcast(s.cells.select(F.col("grp").alias("tgt")).distinct()))
+    near = ends.withColumn("weight", 1 / (1 + F.abs(F.length("src") - F.length("tgt")))).withColumn("contact", (F.length("src") + F.length("tgt")) % 2)
+    return _net(spark, sf_dir, nboot=0, spatial=kernel.contact_weights(s.lr, near)).select(*PAIRS, "prob")
+
+
+def _dataset_pathways(spark, sf_dir) -> DataFrame:
+    both = _datasets(spark, sf_dir).join(F.broadcast(_lr(spark).select("lr_ix", "pathway_name")), "lr_ix")
+    return both.groupBy("dataset", "pathway_name", "src", "tgt").agg(F.sum("prob").alias("prob"))
+
+
+@query
+def similarity_pairwise(spark, sf_dir):
+    return graph.similarity_between(_dataset_pathways(spark, sf_dir).filter((F.length("src") * 5 + F.length("tgt") * 3 + F.col("dataset") * 7) % 4 != 0))
+
+
+@query
+def rank_similarity(spark, sf_dir):
+    places = _dataset_pathways(spark, sf_dir).groupBy("dataset", "pathway_name").agg(F.array(F.sum("prob"), F.max("prob")).alias("dims"))
+    return graph.rank_similarity(places)
+
+
+@query
+def rank_net_test(spark, sf_dir):
+    return net.signed_rank(_dataset_pathways(spark, sf_dir))
+
+
+@query
+def heatmap(spark, sf_dir):
+    return net.heatmap(net.aggregate_net(_seen(spark, sf_dir), THRESH))
+
+
+@query
+def pathway_entropy(spark, sf_dir):
+    share = F.col("prob") / F.sum("prob").over(Window.partitionBy("pathway_name"))
+    return _netp(spark, sf_dir).withColumn("share", share).groupBy("pathway_name").agg(T.entropy(F.col("share")).alias("entropy"))
+
+
+@query
+def de_fast(spark, sf_dir):
+    s = _study(spark, sf_dir)
+    return de.quick_markers(s.expr, s.cells, thresh_p=1.1, only_pos=False).select("gene", "grp", "logfc", "pct_1", "pct_2", "z")
+
+
+@query
+def de_datasets(spark, sf_dir):
+    s = _study(spark, sf_dir)
+    return de.dataset_markers(s.expr, s.cells, 1).select("gene", "grp", "pct_1", "pct_2", "logfc", "z")
+
+
+@query
+def min_max_threshold(spark, sf_dir):
+    return merge.min_max_threshold(_raw(spark, sf_dir).expr, 0.5).select("cell", "gene", "value")
+
+
+def _symbols(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_brand").alias("symbol")).distinct()
+
+
+@query
+def kb_gene_subset(spark, sf_dir):
+    names = spark.createDataFrame([("CX1", 1), ("Brand#2", 2), ("CX3", 3), ("Brand#1", 4)], "name string, ord int")
+    return kb.gene_subset(names, adapters.knowledge_base(spark)["complexes"], _symbols(spark, sf_dir))
+
+
+@query
+def kb_check_symbols(spark, sf_dir):
+    b = adapters.knowledge_base(spark)
+    return kb.check_symbols(b["cofactors"].select(F.col("member").alias("gene")), _symbols(spark, sf_dir))
+
+
+@query
+def kb_update(spark, sf_dir):
+    more = spark.createDataFrame([("B1_B2", "Brand#5", "Brand#6"), ("NEW", "Brand#20", "Brand#21")], "interaction_name string, ligand string, receptor string")
+    return kb.update(_lr(spark), more).select("lr_ix", "interaction_name", "ligand", "pathway_name")
+
+
 @query
 def merge_datasets(spark, sf_dir):
     s = _raw(spark, sf_dir)

@@ -211,6 +211,62 @@ def queries() -> dict[str, str]:
         "merge_datasets": "SELECT 'd' || sample AS dataset, grp, count(*) AS n, " + _r("sum(value)", "total") + " FROM raw JOIN cells USING (cell) GROUP BY 1, 2",
         "window_means": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS grp, count(*) AS n, count(*) FILTER (value <> 0) AS nnz, " + _r("sum(value) / count(*)", "mean") + " FROM events GROUP BY 1, 2",
     }
+    overlap = [
+        region[0],
+        "kn AS (SELECT DISTINCT r.sample, c.grp AS a, r.neighbour AS nn FROM near r JOIN place c ON c.cell = r.node WHERE rnk <= 5)",
+        "hit AS (SELECT a, b FROM (SELECT DISTINCT sample, a, b, nn FROM nn WHERE d < 60) JOIN kn USING (sample, a, nn) GROUP BY sample, a, b HAVING count(*) >= 2)",
+    ]
+    tail["contact_overlap"] = (overlap, "SELECT DISTINCT a AS src, b AS tgt, ((a, b) IN (SELECT (a, b) FROM hit) AND (b, a) IN (SELECT (a, b) FROM hit))::INT AS adjacent FROM nn")
+    joined = "rd AS (SELECT x.a AS src, x.b AS tgt, CASE WHEN x.adj * y.adj = 1 THEN (x.d + y.d) / 2 END AS d FROM rb x JOIN rb y ON x.a = y.b AND x.b = y.a)"
+    tail["spatial_weight"] = ([*region, joined, "rw AS (SELECT *, CASE WHEN src <> tgt AND d > 0 THEN 1 / (d * 0.01::DOUBLE) END AS w FROM rd)"], "SELECT src, tgt, " + _r("CASE WHEN src = tgt THEN max(w) OVER () ELSE coalesce(w, 0) END", "weight") + " FROM rw")
+    tail["commun_prob_contact"] = "SELECT lr_ix, src, tgt, " + _r("prob / (1 + abs(length(src) - length(tgt))) * CASE WHEN lr_ix > (SELECT max(lr_ix) FROM lr WHERE annotation <> 'Cell-Cell Contact') THEN (length(src) + length(tgt)) % 2 ELSE 1 END", "prob") + " FROM o_prob"
+    paths = "dp AS (SELECT dataset, pathway_name, src, tgt, sum(prob) AS prob FROM datasets JOIN lr USING (lr_ix) GROUP BY ALL)"
+    tail["similarity_pairwise"] = (
+        [paths, "live AS (SELECT pathway_name || '--' || dataset AS name, src, tgt FROM dp WHERE prob > 0 AND (length(src) * 5 + length(tgt) * 3 + dataset * 7) % 4 <> 0)", "size AS (SELECT name, count(*) AS n FROM live GROUP BY 1)"],
+        "SELECT a, b, " + _r("k / (x.n + y.n - k)", "value") + " FROM (SELECT p.name AS a, q.name AS b, count(*) AS k FROM live p JOIN live q USING (src, tgt) GROUP BY 1, 2) JOIN size x ON x.name = a JOIN size y ON y.name = b",
+    )
+    tail["rank_similarity"] = ([paths, "spot AS (SELECT dataset, pathway_name, sum(prob) AS s, max(prob) AS m FROM dp GROUP BY 1, 2)"], "SELECT pathway_name, " + _r("sqrt(pow(p.s - q.s, 2) + pow(p.m - q.m, 2))", "distance") + " FROM spot p JOIN spot q USING (pathway_name) WHERE p.dataset = 0 AND q.dataset = 1")
+    tail["rank_net_test"] = (
+        [
+            paths,
+            "df AS (SELECT pathway_name, round(sum(CASE WHEN dataset = 1 THEN prob ELSE 0 END) - sum(CASE WHEN dataset = 0 THEN prob ELSE 0 END), 9) AS d FROM dp GROUP BY pathway_name, src, tgt)",
+            "sr AS (SELECT *, count(*) OVER (PARTITION BY pathway_name, abs(d)) AS t, rank() OVER (PARTITION BY pathway_name ORDER BY abs(d)) AS r FROM df WHERE d <> 0)",
+            "sv AS (SELECT pathway_name, count(*) AS n, sum(CASE WHEN d > 0 THEN r + (t - 1) / 2 ELSE 0 END)::DOUBLE AS v, sum(t * t - 1)::DOUBLE AS ties FROM sr GROUP BY 1)",
+        ],
+        "SELECT pathway_name, n, " + _r("v") + ", " + _r("(v - n * (n + 1) / 4 - 0.5::DOUBLE * sign(v - n * (n + 1) / 4)) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)", "z") + ", (SELECT count(*) FROM df WHERE df.pathway_name = sv.pathway_name AND d = 0) AS zeros, ties > 0 AS tied FROM sv",
+    )
+    tail["heatmap"] = "SELECT src, tgt, " + _r("weight", "value") + ", " + _r("sum(weight) OVER (PARTITION BY src)", "sent") + ", " + _r("sum(weight) OVER (PARTITION BY tgt)", "received") + " FROM agg"
+    tail["pathway_entropy"] = "SELECT pathway_name, " + _r("-sum(CASE WHEN p > 0 THEN p * ln(p) END)", "entropy") + " FROM (SELECT pathway_name, prob / sum(prob) OVER (PARTITION BY pathway_name) AS p FROM netp) GROUP BY 1"
+    plain = "plain AS (SELECT gene, grp, sum(v) / count(*) - (sum(sum(v)) OVER w - sum(v)) / (sum(count(*)) OVER w - count(*)) AS gap FROM dense GROUP BY gene, grp WINDOW w AS (PARTITION BY gene))"
+    tail["de_fast"] = ([*wil, plain], "SELECT gene, grp, " + _r("gap", "logfc") + ", " + _r("pct_1 * 100", "pct_1") + ", " + _r("pct_2 * 100", "pct_2") + ", " + _r("z") + " FROM plain JOIN shares USING (gene, grp) JOIN wz USING (gene, grp) WHERE greatest(pct_1, pct_2) > 0 AND z IS NOT NULL")
+    tail["de_datasets"] = (
+        [
+            "dr AS (SELECT *, rank() OVER (PARTITION BY gene, grp ORDER BY v) + (count(*) OVER (PARTITION BY gene, grp, v) - 1) / 2 AS r FROM dense)",
+            "dt AS (SELECT gene, grp, sum(t * t * t - t) AS t, sum(t) AS n FROM (SELECT gene, grp, v, count(*)::DOUBLE AS t FROM dense GROUP BY 1, 2, 3) GROUP BY 1, 2)",
+            "dw AS (SELECT gene, grp, count(*) FILTER (sample = 1) AS n1, count(*) FILTER (sample = 0) AS n2, count(*) FILTER (sample = 1 AND v > 0) AS k1, count(*) FILTER (sample = 0 AND v > 0) AS k2, "
+            "sum(exp(v) - 1) FILTER (sample = 1) AS s1, sum(exp(v) - 1) FILTER (sample = 0) AS s2, sum(r) FILTER (sample = 1) - n1 * (n1 + 1) / 2 - n1 * n2 / 2 AS g FROM dr GROUP BY 1, 2)",
+        ],
+        "SELECT gene, grp, round(k1 / n1, 3) + 0.0::DOUBLE AS pct_1, round(k2 / n2, 3) + 0.0::DOUBLE AS pct_2, " + _r("ln(s1 / n1 + 1) - ln(s2 / n2 + 1)", "logfc") + ", "
+        + _r("(g - 0.5::DOUBLE * sign(g)) / sqrt(n1 * n2 / 12 * ((n + 1) - t / (n * (n - 1))))", "z") + " FROM dw JOIN dt USING (gene, grp)",
+    )
+    tail["min_max_threshold"] = "SELECT cell, gene, " + _r("x", "value") + " FROM (SELECT cell, gene, CASE WHEN max(value) OVER g > min(value) OVER g THEN (value - min(value) OVER g) / (max(value) OVER g - min(value) OVER g) ELSE 0 END AS x FROM raw WINDOW g AS (PARTITION BY gene)) WHERE x >= 0.5"
+    asked = "asked(name, ord) AS (VALUES ('CX1', 1), ('Brand#2', 2), ('CX3', 3), ('Brand#1', 4))"
+    official = "official AS (SELECT DISTINCT p_brand AS symbol FROM part)"
+    tail["kb_gene_subset"] = (
+        [asked, official],
+        "SELECT gene, row_number() OVER (ORDER BY min(spot))::INT AS ord FROM (SELECT name AS gene, (0, 0, ord) AS spot FROM asked WHERE name IN (SELECT symbol FROM official) UNION ALL "
+        "SELECT member, (1, pos, ord) FROM asked JOIN complex USING (name) WHERE member <> '' AND name NOT IN (SELECT symbol FROM official)) GROUP BY gene",
+    )
+    tail["kb_check_symbols"] = ([official], "SELECT member AS gene FROM cofactor WHERE member NOT IN (SELECT symbol FROM official)")
+    tail["kb_update"] = "SELECT lr_ix, interaction_name, ligand, pathway_name FROM lr UNION ALL SELECT (SELECT max(lr_ix) + 1 FROM lr)::INT, 'NEW', 'Brand#20', ''"
+    edges = [
+        "ed AS (SELECT ligand AS g1, receptor AS g2 FROM lr WHERE ligand LIKE 'Brand%' AND receptor LIKE 'Brand%')",
+        "st AS (SELECT g1, g2, 1 / count(*) OVER (PARTITION BY g1) AS w FROM (SELECT g1, g2 FROM ed UNION SELECT g2, g1 FROM ed))",
+        "m0 AS (SELECT * FROM expr)",
+    ]
+    for k in (1, 2, 3):
+        edges.append(f"m{k} AS (SELECT cell, gene, sum(value) AS value FROM (SELECT cell, gene, value * CASE WHEN gene IN (SELECT g1 FROM st) THEN 0.5::DOUBLE ELSE 1 END AS value FROM expr UNION ALL SELECT cell, g1, value * w * 0.5::DOUBLE FROM m{k - 1} JOIN st ON gene = g2) GROUP BY 1, 2)")
+    tail["smooth"] = (edges, "SELECT cell, gene, " + _r("value") + " FROM m3")
     few = "few AS (SELECT grp FROM cells GROUP BY grp HAVING count(*) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM cells GROUP BY grp)))"
     tail["filter_min_cells"] = ([few], tail["filter_min_cells"])
     tail["lift"] = (

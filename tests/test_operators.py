@@ -72,6 +72,46 @@ def test_betweenness_and_rank():
     assert graph.structural_distance(line, line) == pytest.approx(0)
 
 
+def test_contact_applies_after_the_last_diffusible(spark):
+    lr = spark.createDataFrame([(1, "Cell-Cell Contact"), (2, "ECM-Receptor"), (3, "Cell-Cell Contact")], "lr_ix int, annotation string")
+    near = spark.createDataFrame([("a", "b", 0.5, 0), ("a", "a", 2.0, 1)], "src string, tgt string, weight double, contact int")
+
+    def apart(lr, **more):  # weights between groups not in contact
+        return [r.weight for r in kernel.contact_weights(lr, near, **more).filter("src <> tgt").orderBy("lr_ix").collect()]
+
+    assert apart(lr) == [0.5, 0.5, 0.0]
+    assert apart(lr, forced=True) == [0, 0, 0] and apart(lr, contact_dependent=False) == [0.5] * 3
+    assert apart(lr.filter("lr_ix <> 2")) == [0, 0]  # contact only: all of them
+
+
+def test_comparisons_within_parts(spark):
+    rng = np.random.default_rng(1)
+    dense = rng.integers(0, 4, 24).astype(float)
+    cells = spark.createDataFrame([(k, "ab"[k % 2], k // 2 % 2) for k in range(24)], "cell long, grp string, sample int")
+    expr = spark.createDataFrame([(k, "g", float(v)) for k, v in enumerate(dense) if v], "cell long, gene string, value double")
+    got = {r.grp: r for r in de.dataset_markers(expr, cells, 1).collect()}
+    alone = {g: de.rank_sums(expr, cells.filter(f"grp = '{g}'").select("cell", (cells["sample"] == 1).alias("grp"))).filter("grp").first().z for g in "ab"}
+    assert {g: r.z for g, r in got.items()} == {g: pytest.approx(z) for g, z in alone.items()}
+    inner = dense[np.arange(24) % 2 == 0].reshape(-1, 2)[:, 1]
+    assert got["a"].pct_1 == pytest.approx(round(np.count_nonzero(inner) / len(inner), 3))
+    assert de.dataset_markers(expr, cells, 1, combined=True).select("z").distinct().count() == 1
+
+
+def test_signed_ranks(spark):
+    rows = [("p", f"g{k}", "t", ds, v) for k, pair in enumerate([(1.0, 3.0), (2.0, 1.0), (5.0, 5.0), (0.0, 2.0), (1.0, 4.0)]) for ds, v in enumerate(pair)]
+    r = net.signed_rank(spark.createDataFrame(rows, "pathway_name string, src string, tgt string, dataset int, prob double")).first()
+    # differences 2, -1, 0, 2, 3: ranks 2.5, 1, 2.5, 4
+    assert (r.n, r.v, r.zeros, r.tied) == (4, 9.0, 1, True)
+    assert r.z == pytest.approx((9 - 5 - 0.5) / math.sqrt(4 * 5 * 9 / 24 - 6 / 48))
+
+
+def test_gene_subset_goes_by_position(spark, study):
+    names = spark.createDataFrame([("CX3", 1), ("Brand#2", 2), ("CX1", 3)], "name string, ord int")
+    official = spark.createDataFrame([("Brand#2",)], "symbol string")
+    got = [r.gene for r in kb.gene_subset(names, study.complexes, official).orderBy("ord").collect()]
+    assert got == ["Brand#2", "Brand#17", "Brand#13", "Brand#18", "Brand#19", "Brand#14"]
+
+
 def test_distances_by_squares_match_all_pairs(spark):
     rng = np.random.default_rng(3)
     at = [(k, k % 3, k % 2, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(0, 10, (60, 2)).round(2))]

@@ -23,7 +23,7 @@ def ordered(rows, columns):
     return sorted((tuple(plain(r[k]) for k in at) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", ["norm_log1p", "avg_tri", "avg_truncated", "kb_extract_genes", "commun_prob", "aggregate_net", "pathway_prob", "subset_comm", "pairwise_rank", "rank_net", "wilcox_w", "knn_topk"])
+@pytest.mark.parametrize("name", ["norm_log1p", "avg_tri", "avg_truncated", "kb_extract_genes", "commun_prob", "aggregate_net", "pathway_prob", "subset_comm", "pairwise_rank", "rank_net", "wilcox_w", "knn_topk", "contact_overlap", "commun_prob_contact", "rank_net_test", "de_datasets", "kb_gene_subset", "smooth"])
 def test_against_sql(spark, duck, name):
     df = catalog.queries()[name](spark, SF)
     want = duck.execute(catalog.oracle_sql()[name])
