@@ -6,6 +6,8 @@ those of its own and the eight adjoining squares only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +37,42 @@ def nearest(cells: DataFrame) -> DataFrame:
     return best.select("sample", "i", "a", "b", F.col("m.nn").alias("nn"), F.col("m.d").alias("d"))
 
 
+def _pairs_by_squares(own: DataFrame, other: DataFrame, side: float) -> DataFrame:
+    """Rows (sample, i, ix, iy) with those (sample, j, jx, jy) of their own and the eight
+    adjoining squares, which hold all that are nearer than ``side``."""
+    square = lambda c: F.floor(F.col(c) / side).cast("long")
+    near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    around = own.withColumn("o", F.explode(near)).withColumn("sx", square("ix") + F.col("o.a")).withColumn("sy", square("iy") + F.col("o.b")).drop("o")
+    return around.join(other.withColumn("sx", square("jx")).withColumn("sy", square("jy")), ["sample", "sx", "sy"])
+
+
 def knn(cells: DataFrame, k: int) -> DataFrame:
-    """(sample, node, neighbour, rnk, d): k nearest others, ties to the smaller id."""
+    """(sample, node, neighbour, rnk, d): k nearest others, ties to the smaller id.
+
+    Squares begin with about k cells each. A cell whose k-th neighbour is nearer than a
+    square is wide is settled; the others go on with squares four times as wide, to the
+    last when one holds everything. Cells without a place take no part."""
+    cells = cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    box = cells.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
+    extent = max(box[0] or 0.0, box[1] or 0.0)
+    side = math.sqrt(max(box[0] or 0.0, extent / 1024) * max(box[1] or 0.0, extent / 1024) * (k + 1) / max(box[2], 1)) or 1.0
     own = cells.select("sample", F.col("cell").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"))
     other = cells.select("sample", F.col("cell").alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"))
-    pairs = own.join(other, "sample").filter("i <> j").withColumn("d", _distance("i", "j"))
-    order = Window.partitionBy("sample", "i").orderBy("d", "j")
-    return pairs.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k).select("sample", F.col("i").alias("node"), F.col("j").alias("neighbour"), "rnk", "d")
+    order, each = Window.partitionBy("sample", "i").orderBy("d", "j"), Window.partitionBy("sample", "i")
+    todo, done = own, None
+    while True:
+        pairs = _pairs_by_squares(todo, other, side).filter("i <> j").withColumn("d", _distance("i", "j"))
+        best = pairs.withColumn("rnk", F.row_number().over(order)).filter(F.col("rnk") <= k)
+        found = best.select("sample", F.col("i").alias("node"), F.col("j").alias("neighbour"), "rnk", "d", F.max(F.when(F.col("rnk") == k, F.col("d"))).over(each).alias("far"))
+        if side > extent:
+            found = found.drop("far")
+            return found if done is None else done.unionByName(found)
+        found = found.filter(F.col("far") < side).drop("far").persist()
+        done = found if done is None else done.unionByName(found)
+        todo = todo.join(found.select("sample", F.col("node").alias("i")).distinct(), ["sample", "i"], "left_anti").persist()
+        if todo.isEmpty():
+            return done
+        side *= 4
 
 
 def region_distances(cells: DataFrame, reach: float, k_min: int = 10, ratio: float = 1.0, tol: float = 0.0) -> DataFrame:

@@ -121,6 +121,21 @@ def test_distances_by_squares_match_all_pairs(spark):
     assert got == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_neighbours_by_widening_squares(spark):
+    rng = np.random.default_rng(4)
+    spots = [*rng.normal(0, 1, (40, 2)).round(1).tolist(), *rng.normal(500, 30, (15, 2)).tolist(), [9000.0, -4000.0], [0.5, 0.5], [0.5, 0.5]]
+    at = [(k, 0, int(k % 7 == 0), float(x), float(y)) for k, (x, y) in enumerate(spots)]
+    cells = spark.createDataFrame([*at, (999, 0, 0, None, 1.0)], "cell long, grp int, sample int, x double, y double")
+    for k in (1, 4, 12):  # the smaller sample has 9 cells: 8 neighbours at most
+        want = []
+        for a in at:
+            near = sorted((math.sqrt((a[3] - b[3]) ** 2 + (a[4] - b[4]) ** 2), b[0]) for b in at if b[0] != a[0] and b[2] == a[2])[:k]
+            want += [(a[2], a[0], j, n + 1) for n, (_, j) in enumerate(near)]
+        got = [(r["sample"], r.node, r.neighbour, r.rnk) for r in spatial.knn(cells, k).collect()]
+        assert sorted(got) == sorted(want)
+    assert spatial.knn(cells.limit(0), 3).count() == 0
+
+
 def test_merge_refuses_repeated_cells(study):
     with pytest.raises(ValueError):
         merge.merge({"x": study, "y": study})
