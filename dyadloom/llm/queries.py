@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, nearest, pii, sharding, simhash, substring, toxicity, warc
+from . import bpe, mixing, nearest, pii, sharding, simhash, similar, substring, toxicity, warc
 from .common import table
 
 _KEPT_FOLD = "crc32(cast(cast(doc_id as bigint) as string)) % 3 <> 1"
@@ -79,7 +79,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest doc_id."""
-    return simhash.representatives(docs)
+    return similar.one_of_each(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
