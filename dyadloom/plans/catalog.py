@@ -16,7 +16,9 @@ from ..streaming.incremental import windowed_means
 from . import oracle
 
 NBOOT = 4
-THRESH = 0.3
+#: Replicates behind the reads of the tensor, and the threshold of their p-values: the operators' defaults.
+REPLICATES = 100
+THRESH = 0.05
 PAIRS = ("lr_ix", "src", "tgt")
 _studies: WeakKeyDictionary = WeakKeyDictionary()
 
@@ -45,12 +47,8 @@ def _kept_for(spark, sf_dir, name: str, make) -> DataFrame:
 
 
 def _seen(spark, sf_dir) -> DataFrame:
-    """Strengths only, with p-values by a rule, for reads that need no replicates."""
-    return _kept_for(spark, sf_dir, "seen", lambda: _ruled(_net(spark, sf_dir, nboot=0)))
-
-
-def _ruled(out: DataFrame) -> DataFrame:
-    return out.withColumn("pval", F.when(F.col("prob") == 0, 1.0).otherwise(((F.col("lr_ix") * 7 + F.length("src") * 3 + F.length("tgt")) % 5) / F.lit(10.0)))
+    """The tensor with p-values by permutation, made once for the reads of a session."""
+    return _kept_for(spark, sf_dir, "seen", lambda: _net(spark, sf_dir, nboot=REPLICATES))
 
 
 def _netp(spark, sf_dir) -> DataFrame:
