@@ -20,9 +20,12 @@ KEY = "surrogate-key"
 # Fixed formats of what is looked for, in order of precedence.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])"
-PHONE = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z(])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])"
+SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64}|AKIA[0-9A-Z]{16})(?![A-Za-z0-9])"
+_QUAD = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])"
+_DIALLED = r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})"
+# where a telephone can end before an address it does, else it has the address's digits too
+PHONE = rf"{_DIALLED}(?:(?![ -]{_QUAD})[ .-]?[0-9]{{2,4}}){{2,4}}(?![0-9])|{_DIALLED}(?:[ .-]?[0-9]{{2,4}}){{2,4}}(?![0-9])|(?<![0-9A-Za-z(])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9])"
+IP = rf"(?<![0-9.]){_QUAD}"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9.])(?:[0-9]{13,19}|[0-9]{4}(?: [0-9]{4}){2} [0-9]{1,7}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7})(?![0-9])"
 MEN = ("Mr", "Herr", "Sr", "Señor", "Monsieur", "Господин", "Κύριος")
@@ -59,7 +62,7 @@ def _canonical(kind: Column, found: Column) -> Column:
     """One string for all spellings of an entity. A +, if any, stays with the digits."""
     digits = F.regexp_replace(found, "[^0-9]", "")
     return (
-        F.when(kind == "email", F.lower(found))
+        F.when((kind == "email") | ((kind == "secret") & ~found.startswith("AKIA")), F.lower(found))
         .when(kind.isin("phone", "card", "ssn"), digits)
         .when(kind == "iban", F.regexp_replace(found, " ", ""))
         .when(kind == "name", F.regexp_replace(found, r"^(\p{L}+)\.? ", r"$1 "))
@@ -154,7 +157,7 @@ def _in_layout(kind: Column, found: Column, entity: Column, own: Column) -> Colu
     return (
         F.when(kind.isin("phone", "card", "ssn", "iban") & (found != entity), shape)
         .when(kind == "name", dotted)
-        .when((kind == "email") & (found == F.upper(found)), F.upper(own))
+        .when(((kind == "email") | ((kind == "secret") & ~found.startswith("AKIA"))) & (found == F.upper(found)), F.upper(own))
         .otherwise(own)
     )
 
