@@ -221,7 +221,8 @@ def structural_distance(a: np.ndarray, b: np.ndarray, w=(0.45, 0.45, 0.1)) -> fl
 
     def alpha(m):
         n = len(m)
-        x = np.linalg.solve(np.eye(n) - m.T / n, (m > 0).sum(axis=1) / max(1, n - 1)) / n**2
+        open_ = m - np.diag(np.diag(m))  # loops do not carry centrality on; with them a whole graph has no solution
+        x = np.linalg.solve(np.eye(n) - open_.T / n, (m > 0).sum(axis=1) / max(1, n - 1)) / n**2
         x = np.sort(x)
         return np.append(x, max(0.0, 1 - x.sum()))
 

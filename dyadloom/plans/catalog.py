@@ -314,7 +314,7 @@ def lift(spark, sf_dir):
 
 @query
 def score_import(spark, sf_dir):
-    seen = _seen(spark, sf_dir).join(_lr(spark).select("lr_ix", "interaction_name"), "lr_ix").filter("lr_ix <= 3")
+    seen = _seen(spark, sf_dir).join(_lr(spark).select("lr_ix", "interaction_name"), "lr_ix")
     scores = seen.select("interaction_name", "src", "tgt", (F.col("prob") * 2).alias("prob"), F.lit(1).alias("ix")).unionAll(seen.filter("src = tgt").select("interaction_name", "src", "tgt", "prob", F.lit(2)))
     return net.import_scores(scores, _study(spark, sf_dir).cells.select("grp").distinct(), _lr(spark))
 
@@ -384,14 +384,9 @@ def role_scatter(spark, sf_dir):
     return graph.role_scatter(_netp(spark, sf_dir))
 
 
-def _slices(spark, sf_dir) -> DataFrame:
-    """Pathway slices with unlike patterns: each keeps the stronger of its pairs."""
-    return _netp(spark, sf_dir).filter((F.length("src") * 5 + F.length("tgt") * 3 + F.col("pathway_ix") * 7) % 4 != 0)
-
-
 @query
 def similarity_functional(spark, sf_dir):
-    return graph.functional_similarity(_slices(spark, sf_dir))
+    return graph.functional_similarity(_netp(spark, sf_dir))
 
 
 @query
@@ -440,7 +435,7 @@ def _dataset_pathways(spark, sf_dir) -> DataFrame:
 
 @query
 def similarity_pairwise(spark, sf_dir):
-    return graph.similarity_between(_dataset_pathways(spark, sf_dir).filter((F.length("src") * 5 + F.length("tgt") * 3 + F.col("dataset") * 7) % 4 != 0))
+    return graph.similarity_between(_dataset_pathways(spark, sf_dir))
 
 
 @query
@@ -524,17 +519,17 @@ def window_means(spark, sf_dir):
 
 @query
 def centrality(spark, sf_dir):
-    return graph.centrality(_slices(spark, sf_dir))
+    return graph.centrality(_netp(spark, sf_dir))
 
 
 @query
 def similarity_structural(spark, sf_dir):
-    return graph.structural_similarity(_slices(spark, sf_dir))
+    return graph.structural_similarity(_netp(spark, sf_dir))
 
 
 @query
 def nmf_patterns(spark, sf_dir):
-    return learn.patterns(_slices(spark, sf_dir), 2)
+    return learn.patterns(_netp(spark, sf_dir), 2)
 
 
 @query
