@@ -15,9 +15,8 @@ from ..sources import adapters
 from ..streaming.incremental import windowed_means
 from . import oracle
 
-NBOOT = 4
-#: Replicates behind the reads of the tensor, and the threshold of their p-values: the operators' defaults.
-REPLICATES = 100
+#: Replicates, and the threshold of p-values: the operators' defaults.
+NBOOT = 100
 THRESH = 0.05
 PAIRS = ("lr_ix", "src", "tgt")
 _studies: WeakKeyDictionary = WeakKeyDictionary()
@@ -48,7 +47,7 @@ def _kept_for(spark, sf_dir, name: str, make) -> DataFrame:
 
 def _seen(spark, sf_dir) -> DataFrame:
     """The tensor with p-values by permutation, made once for the reads of a session."""
-    return _kept_for(spark, sf_dir, "seen", lambda: _net(spark, sf_dir, nboot=REPLICATES))
+    return _kept_for(spark, sf_dir, "seen", lambda: _net(spark, sf_dir))
 
 
 def _netp(spark, sf_dir) -> DataFrame:
@@ -546,7 +545,7 @@ def pca(spark, sf_dir):
 @query
 def smooth(spark, sf_dir):
     edges = _lr(spark).filter("ligand like 'Brand%' and receptor like 'Brand%'").select(F.col("ligand").alias("g1"), F.col("receptor").alias("g2"))
-    return learn.smooth(_study(spark, sf_dir).expr, edges, rounds=3)
+    return learn.smooth(_study(spark, sf_dir).expr, edges)
 
 
 @cache

@@ -53,3 +53,12 @@ def test_all_scores_are_imported(spark, monkeypatch):
     seen = lr.selectExpr("lr_ix", "'BUILDING' AS src", "'MACHINERY' AS tgt", "0.5D AS prob", "0.0D AS pval").persist()
     monkeypatch.setattr(catalog, "_seen", lambda *_: seen)
     assert {r.lr_ix for r in catalog.queries()["score_import"](spark, SF).collect()} == {r.lr_ix for r in lr.collect()}
+
+
+def test_registered_with_the_operators_defaults(spark, pvalues, monkeypatch):
+    got = {(r.lr_ix, r.src, r.tgt): r.pval for r in catalog.queries()["commun_pval"](spark, SF).collect()}
+    assert got == {k: pytest.approx(p) for k, (_, p) in pvalues.items()}
+    asked = []
+    monkeypatch.setattr(learn, "smooth", lambda expr, edges, alpha=0.5, rounds=10: asked.append((alpha, rounds)) or expr)
+    catalog.queries()["smooth"](spark, SF)
+    assert asked == [(0.5, 10)]
