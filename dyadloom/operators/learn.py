@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import written
+
+#: Genes of a network whose inverse is made at once (32 MB).
+NETWORK = 2000
 #: Rows up to which a matrix is collected: groups times pathways of a result, not of cells.
 MATRIX_ROWS = 1_000_000
 
@@ -74,16 +81,62 @@ def laplacian_embedding(similarity: DataFrame, k: int = 2) -> DataFrame:
     return similarity.sparkSession.createDataFrame([(str(n), [float(x) for x in vec[i]]) for n, i in at.items()], "node string, dims array<double>")
 
 
-def smooth(expr: DataFrame, edges: DataFrame, alpha: float = 0.5, rounds: int = 10) -> DataFrame:
-    """(cell, gene, value) after a walk with restart on the gene network (g1, g2):
-    value <- alpha * mean over neighbours + (1 - alpha) * start; genes without neighbours
-    stay. The network is small and joined to the cells' values round by round."""
-    both = edges.select("g1", "g2").union(edges.select("g2", "g1")).distinct()
-    step = both.withColumn("w", 1 / F.count(F.lit(1)).over(Window.partitionBy("g1")))
-    start, now = expr.select("cell", "gene", "value"), expr.select("cell", "gene", "value")
-    for _ in range(rounds):
-        spread = now.join(F.broadcast(step), F.col("gene") == F.col("g2")).groupBy("cell", F.col("g1").alias("gene")).agg((F.sum(F.col("value") * F.col("w")) * alpha).alias("value"))
-        own = start.join(F.broadcast(step.select(F.col("g1").alias("gene")).distinct().withColumn("linked", F.lit(True))), "gene", "left")
-        kept = own.select("cell", "gene", (F.col("value") * F.when(F.col("linked"), 1 - alpha).otherwise(1.0)).alias("value"))
-        now = kept.unionByName(spread.select("cell", "gene", "value")).groupBy("cell", "gene").agg(F.sum("value").alias("value"))
-    return now
+def smooth(expr: DataFrame, edges: DataFrame, alpha: float = 0.5, by: str = "rows") -> DataFrame:
+    """(cell, gene, value) after a walk with restart on the gene network (g1, g2): the
+    solution of (I - alpha A) E = (1 - alpha) E0, A being the network's links with rows,
+    or columns, that add up to 1. Genes outside the network keep their values; genes of
+    the network that are not measured start from 0 and are not returned.
+
+    The inverse, genes by genes, is made once and sent to the tasks up to ``NETWORK``
+    genes; a larger network is walked until what is left is below 1e-12 of the values."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must be between 0 and 1")
+    both = written(edges.select("g1", "g2").union(edges.select("g2", "g1")).distinct(), "network")
+    inside = both.select(F.col("g1").alias("gene")).distinct()
+    measured = expr.select("gene").distinct()
+    outside = expr.join(inside, "gene", "left_anti").select("cell", "gene", "value")
+    linked = expr.join(inside, "gene", "left_semi").select("cell", "gene", "value")
+    total = Window.partitionBy("g1" if by == "rows" else "g2")
+    step = both.withColumn("w", 1 / F.count(F.lit(1)).over(total))
+    names = [r.gene for r in inside.orderBy("gene").limit(NETWORK + 1).collect()]
+    if len(names) <= NETWORK:
+        at, a = {g: k for k, g in enumerate(names)}, np.eye(len(names))
+        for r in step.collect():
+            a[at[r.g1], at[r.g2]] -= alpha * r.w
+        inverse = np.linalg.inv(a) * (1 - alpha)
+        some = sorted(at[r.gene] for r in measured.join(inside, "gene", "left_semi").collect())
+        kinds = dict(expr.dtypes)
+
+        def solve(batches):
+            cell, row = None, np.zeros(len(names))
+
+            def out():
+                y = inverse[some] @ row
+                keep = np.flatnonzero(y)
+                return [cell] * len(keep), [names[some[k]] for k in keep], y[keep].tolist()
+
+            for batch in batches:
+                cells, genes, values = [], [], []
+                for c, g, v in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                    if c != cell:
+                        if cell is not None:
+                            for have, more in zip((cells, genes, values), out()):
+                                have += more
+                        cell, row = c, np.zeros(len(names))
+                    row[at[g]] += v
+                if cells:
+                    yield pa.RecordBatch.from_arrays([pa.array(cells, batch.schema.field(0).type), pa.array(genes), pa.array(values)], ["cell", "gene", "value"])
+                kind = batch.schema.field(0).type
+            if cell is not None:
+                cells, genes, values = out()
+                yield pa.RecordBatch.from_arrays([pa.array(cells, kind), pa.array(genes, pa.string()), pa.array(values, pa.float64())], ["cell", "gene", "value"])
+
+        inner = linked.repartition("cell").sortWithinPartitions("cell").mapInArrow(solve, f"cell {kinds['cell']}, gene string, value double")
+        return outside.unionByName(inner)
+    now = linked
+    for k in range(math.ceil(math.log(1e-12) / math.log(alpha))):
+        spread = now.join(step, F.col("gene") == F.col("g2")).groupBy("cell", F.col("g1").alias("gene")).agg((F.sum(F.col("value") * F.col("w")) * alpha).alias("value"))
+        own = linked.withColumn("value", F.col("value") * (1 - alpha))
+        now = own.unionByName(spread).groupBy("cell", "gene").agg(F.sum("value").alias("value"))
+        now = written(now, "walk") if k % 5 == 4 else now
+    return outside.unionByName(now.join(measured, "gene", "left_semi").select("cell", "gene", "value"))

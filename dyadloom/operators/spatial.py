@@ -11,6 +11,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..durable import written
+
 
 def _distance(a: str, b: str):
     return F.sqrt(F.pow(F.col(f"{a}x") - F.col(f"{b}x"), 2) + F.pow(F.col(f"{a}y") - F.col(f"{b}y"), 2))
@@ -30,20 +32,45 @@ def cell_distances(cells: DataFrame, reach: float, ratio: float = 1.0, tol: floa
 
 def nearest(cells: DataFrame) -> DataFrame:
     """(sample, i, a, b, nn, d): of each cell of group a the nearest of group b in its
-    sample (itself, if a = b), ties to the smaller id."""
+    sample (itself, if a = b), ties to the smaller id.
+
+    By widening squares, as ``knn``: a cell that has found one of a group nearer than a
+    square is wide is done with that group. Cells without a place take no part."""
+    cells = cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    box = cells.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
+    extent, side = _first_square(box, 4)
     own = cells.select("sample", F.col("cell").alias("i"), F.col("grp").alias("a"), F.col("x").alias("ix"), F.col("y").alias("iy"))
     other = cells.select("sample", F.col("cell").alias("j"), F.col("grp").alias("b"), F.col("x").alias("jx"), F.col("y").alias("jy"))
-    best = own.join(other, "sample").groupBy("sample", "i", "a", "b").agg(F.min(F.struct(_distance("i", "j").alias("d"), F.col("j").alias("nn"))).alias("m"))
-    return best.select("sample", "i", "a", "b", F.col("m.nn").alias("nn"), F.col("m.d").alias("d"))
+    each = cells.select("sample", F.col("grp").alias("b")).distinct()
+    todo, done = own.join(each, "sample"), None
+    while True:
+        pairs = _pairs_by_squares(todo, other, side, ["b"])
+        best = pairs.groupBy("sample", "i", "a", "b").agg(F.min(F.struct(_distance("i", "j").alias("d"), F.col("j").alias("nn"))).alias("m"))
+        found = best.select("sample", "i", "a", "b", F.col("m.nn").alias("nn"), F.col("m.d").alias("d"))
+        if side > extent:
+            return found if done is None else done.unionByName(found)
+        found = written(found.filter(F.col("d") < side), "near")
+        done = found if done is None else done.unionByName(found)
+        todo = written(todo.join(found.select("sample", "i", "b"), ["sample", "i", "b"], "left_anti"), "todo")
+        if todo.isEmpty():
+            return done
+        side *= 4
 
 
-def _pairs_by_squares(own: DataFrame, other: DataFrame, side: float) -> DataFrame:
+def _first_square(box, k: int) -> tuple[float, float]:
+    """(extent, side): squares that hold about ``k`` cells, from the widths and the number."""
+    extent = max(box[0] or 0.0, box[1] or 0.0)
+    least = extent / 1024
+    return extent, math.sqrt(max(box[0] or 0.0, least) * max(box[1] or 0.0, least) * k / max(box[2], 1)) or 1.0
+
+
+def _pairs_by_squares(own: DataFrame, other: DataFrame, side: float, more: list[str] = []) -> DataFrame:  # noqa: B006
     """Rows (sample, i, ix, iy) with those (sample, j, jx, jy) of their own and the eight
     adjoining squares, which hold all that are nearer than ``side``."""
     square = lambda c: F.floor(F.col(c) / side).cast("long")
     near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     around = own.withColumn("o", F.explode(near)).withColumn("sx", square("ix") + F.col("o.a")).withColumn("sy", square("iy") + F.col("o.b")).drop("o")
-    return around.join(other.withColumn("sx", square("jx")).withColumn("sy", square("jy")), ["sample", "sx", "sy"])
+    return around.join(other.withColumn("sx", square("jx")).withColumn("sy", square("jy")), ["sample", "sx", "sy", *more])
 
 
 def knn(cells: DataFrame, k: int) -> DataFrame:
@@ -54,8 +81,7 @@ def knn(cells: DataFrame, k: int) -> DataFrame:
     last when one holds everything. Cells without a place take no part."""
     cells = cells.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
     box = cells.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
-    extent = max(box[0] or 0.0, box[1] or 0.0)
-    side = math.sqrt(max(box[0] or 0.0, extent / 1024) * max(box[1] or 0.0, extent / 1024) * (k + 1) / max(box[2], 1)) or 1.0
+    extent, side = _first_square(box, k + 1)
     own = cells.select("sample", F.col("cell").alias("i"), F.col("x").alias("ix"), F.col("y").alias("iy"))
     other = cells.select("sample", F.col("cell").alias("j"), F.col("x").alias("jx"), F.col("y").alias("jy"))
     order, each = Window.partitionBy("sample", "i").orderBy("d", "j"), Window.partitionBy("sample", "i")
@@ -67,9 +93,10 @@ def knn(cells: DataFrame, k: int) -> DataFrame:
         if side > extent:
             found = found.drop("far")
             return found if done is None else done.unionByName(found)
-        found = found.filter(F.col("far") < side).drop("far").persist()
+        found = written(found.filter(F.col("far") < side).drop("far"), "near")
         done = found if done is None else done.unionByName(found)
-        todo = todo.join(found.select("sample", F.col("node").alias("i")).distinct(), ["sample", "i"], "left_anti").persist()
+        todo = todo.join(found.select("sample", F.col("node").alias("i")).distinct(), ["sample", "i"], "left_anti")
+        todo = written(todo, "todo")
         if todo.isEmpty():
             return done
         side *= 4

@@ -8,6 +8,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import written
 from ..functions import transforms as T
 from ..functions.means import group_means
 from ..operators import de, graph, kb, kernel, learn, merge, net, spatial
@@ -23,12 +24,12 @@ _studies: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def _study(spark: SparkSession, sf_dir: str) -> adapters.Study:
-    """Normalised and scaled; the joined table is kept for the session that asks for it."""
+    """Normalised and scaled; written once for the session that asks for it."""
     held = _studies.setdefault(spark, {})
     if sf_dir not in held:
         raw = adapters.retail(spark, sf_dir)
-        held[sf_dir] = kernel.prepared(raw)
-        held[sf_dir] = held[sf_dir].with_(expr=held[sf_dir].expr.persist(), cells=raw.cells.persist())
+        raw = raw.with_(expr=written(raw.expr, "expr"), cells=written(raw.cells, "cells"))
+        held[sf_dir] = raw.with_(expr=written(kernel.prepared(raw).expr, "prepared"))
     return held[sf_dir]
 
 
@@ -41,7 +42,7 @@ def _kept_for(spark, sf_dir, name: str, make) -> DataFrame:
     _study(spark, sf_dir)
     held = _studies[spark]
     if (sf_dir, name) not in held:
-        held[sf_dir, name] = make().persist()
+        held[sf_dir, name] = written(make(), name)
     return held[sf_dir, name]
 
 
@@ -187,7 +188,7 @@ def _support(spark, sf_dir) -> DataFrame:
     s = _study(spark, sf_dir)
     means = group_means(s.expr, s.cells, "thresholdedMean", 0.8, by=("sample", "grp"))
     own = kernel.lr_values(s, means, ["sample", "grp"], 0.5, 1.0)
-    pairs = kernel.pair_strengths(own, None, 0.5, 1.0, ["sample"]).filter("prob > 0")
+    pairs = kernel.pair_strengths(own, 0.5, 1.0, ["sample"]).filter("prob > 0")
     return pairs.groupBy(*PAIRS).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -421,10 +422,10 @@ def spatial_weight(spark, sf_dir):
 
 @query
 def commun_prob_contact(spark, sf_dir):
-    s = _study(spark, sf_dir)
-    ends = s.cells.select(F.col("grp").alias("src")).distinct().join(F.broadcast(s.cells.select(F.col("grp").alias("tgt")).distinct()))
-    near = ends.withColumn("weight", 1 / (1 + F.abs(F.length("src") - F.length("tgt")))).withColumn("contact", (F.length("src") + F.length("tgt")) % 2)
-    return _net(spark, sf_dir, nboot=0, spatial=kernel.contact_weights(s.lr, near)).select(*PAIRS, "prob")
+    s, places = _study(spark, sf_dir), adapters.places(spark, sf_dir)
+    regions = spatial.region_distances(places, 250.0, k_min=3)
+    near = spatial.weights(regions).join(regions.select("src", "tgt", F.col("adjacent").alias("contact")), ["src", "tgt"])
+    return kernel.communicate(s, nboot=0, spatial=near).select(*PAIRS, "prob")
 
 
 def _dataset_pathways(spark, sf_dir) -> DataFrame:

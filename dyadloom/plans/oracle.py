@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from ..functions.blocks import STEP, TIMES
 from ..sources.adapters import ANNOTATIONS, COFACTOR, COMPLEX, LR, LR_COLUMNS
 
+#: As the queries have them: the operators' defaults.
+NBOOT = 100
+_TOP = "18446744073709551616::UHUGEINT"
+
 
 def _values(name: str, columns, rows) -> str:
     cell = lambda v: str(v) if isinstance(v, int) else "'" + v + "'"
@@ -65,12 +70,22 @@ def _base() -> str:
         "dense AS (SELECT g.gene, c.cell, c.grp, c.sample, coalesce(e.value, 0) AS v FROM cells c CROSS JOIN genes g LEFT JOIN expr e USING (cell, gene))",
         _avg("avg_tri", "cells", _TRI),
         *_tensor("o_", "avg_tri"),
-        "seen AS (SELECT *, CASE WHEN prob = 0 THEN 1.0 ELSE ((lr_ix * 7 + length(src) * 3 + length(tgt)) % 5) / 10.0 END::DOUBLE AS pval FROM o_prob)",
-        "kept AS (SELECT s.*, l.* EXCLUDE (lr_ix) FROM seen s LEFT JOIN lr l USING (lr_ix) WHERE pval < 0.3 AND prob > 0)",
-        "psum AS (SELECT pathway_name, src, tgt, sum(CASE WHEN pval > 0.3 THEN 0 ELSE prob END) AS prob, min(lr_ix) AS first_ix FROM seen JOIN lr USING (lr_ix) GROUP BY 1, 2, 3)",
+        # labels dealt by a hash of cell and replicate, as functions.blocks has it; the groups, in order, take as many cells as they have
+        "lab AS (SELECT grp, row_number() OVER (ORDER BY grp, cell) AS k FROM cells)",
+        f"seed AS (SELECT b, cell, ((('0x' || substr(md5(cell::VARCHAR), 1, 15))::BIGINT::UHUGEINT + b::UHUGEINT * {STEP}::UHUGEINT) % {_TOP})::UBIGINT AS h FROM cells, (SELECT unnest(range(1, {NBOOT + 1})) AS b))",
+        f"mix AS (SELECT b, cell, ((xor(h, h >> 32)::UHUGEINT * {TIMES}::UHUGEINT) % {_TOP})::UBIGINT AS h FROM seed)",
+        f"mixed AS (SELECT b, cell, ((xor(h, h >> 32)::UHUGEINT * {TIMES}::UHUGEINT) % {_TOP})::UBIGINT AS h FROM mix)",
+        "deal AS (SELECT b, cell, row_number() OVER (PARTITION BY b ORDER BY xor(h, h >> 32)) AS k FROM mixed)",
+        "perm AS (SELECT b, cell, grp FROM deal JOIN lab USING (k))",
+        f"avg_b AS (SELECT gene, b, grp, {_TRI} AS value FROM (SELECT p.b, p.grp, g.gene, coalesce(e.value, 0) AS v FROM perm p CROSS JOIN genes g LEFT JOIN expr e USING (cell, gene)) GROUP BY gene, b, grp)",
+        *_tensor("b_", "avg_b", ("b", "grp")),
+        "above AS (SELECT lr_ix, src, tgt, sum((x.prob > o.prob * (1 + 1e-12::DOUBLE))::INT) AS n FROM b_prob x JOIN o_prob o USING (lr_ix, src, tgt) GROUP BY 1, 2, 3)",
+        f"seen AS MATERIALIZED (SELECT lr_ix, src, tgt, prob, CASE WHEN prob = 0 THEN 1 ELSE coalesce(n, 0) / {NBOOT} END::DOUBLE AS pval FROM o_prob LEFT JOIN above USING (lr_ix, src, tgt))",
+        "kept AS (SELECT s.*, l.* EXCLUDE (lr_ix) FROM seen s LEFT JOIN lr l USING (lr_ix) WHERE pval < 0.05 AND prob > 0)",
+        "psum AS (SELECT pathway_name, src, tgt, sum(CASE WHEN pval > 0.05 THEN 0 ELSE prob END) AS prob, min(lr_ix) AS first_ix FROM seen JOIN lr USING (lr_ix) GROUP BY 1, 2, 3)",
         "ptot AS (SELECT pathway_name, row_number() OVER (ORDER BY round(sum(prob), 9) DESC, min(first_ix))::INT AS pathway_ix FROM psum GROUP BY 1 HAVING sum(prob) > 0)",
         "netp AS (SELECT pathway_ix, pathway_name, src, tgt, prob FROM psum JOIN ptot USING (pathway_name))",
-        "agg AS (SELECT src, tgt, count(*) FILTER (prob > 0 AND pval < 0.3) AS count, sum(CASE WHEN pval >= 0.3 THEN 0 ELSE prob END) AS weight FROM seen GROUP BY 1, 2)",
+        "agg AS (SELECT src, tgt, count(*) FILTER (prob > 0 AND pval < 0.05) AS count, sum(CASE WHEN pval >= 0.05 THEN 0 ELSE prob END) AS weight FROM seen GROUP BY 1, 2)",
         _avg("avg_s0", "(SELECT * FROM cells WHERE sample = 0)", _TRI),
         _avg("avg_s1", "(SELECT * FROM cells WHERE sample = 1)", _TRI),
         *_tensor("s0_", "avg_s0"),
@@ -84,13 +99,22 @@ def _base() -> str:
         "place AS (SELECT vec_id AS cell, label AS grp, (vec_id % 2)::INT AS sample, round(embedding[1]::DOUBLE * 1000, 3) AS x, round(embedding[2]::DOUBLE * 1000, 3) AS y FROM embeddings)",
         "apart AS (SELECT a.sample, a.cell AS i, b.cell AS j, a.grp AS a, b.grp AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM place a JOIN place b ON a.sample = b.sample)",
         "near AS (SELECT sample, i AS node, j AS neighbour, row_number() OVER (PARTITION BY sample, i ORDER BY d, j)::INT AS rnk, d FROM apart WHERE i <> j)",
-        "slices AS (SELECT * FROM netp WHERE (length(src) * 5 + length(tgt) * 3 + pathway_ix * 7) % 4 <> 0)",
         "degree AS (SELECT pathway_name, grp, count(o) AS outdeg_unweighted, count(i) AS indeg_unweighted, coalesce(sum(o), 0) AS outdeg, coalesce(sum(i), 0) AS indeg "
         "FROM (SELECT pathway_name, src AS grp, prob AS o, NULL::DOUBLE AS i FROM netp WHERE prob > 0 UNION ALL SELECT pathway_name, tgt, NULL, prob FROM netp WHERE prob > 0) GROUP BY 1, 2)",
     ]
     return "WITH " + ",\n".join(ctes)
 
 
+def _region(p: str, apart: str, reach: int) -> list[str]:
+    """Trimmed distances of groups from (sample, i, j, a, b, d), as ``p``rb (a, b, d, adj)."""
+    return [
+        f"{p}nn AS (SELECT sample, i, a, b, min(d) AS d, arg_min(j, struct_pack(d := d, j := j)) AS nn FROM {apart} GROUP BY 1, 2, 3, 4)",
+        f"{p}ro AS (SELECT *, row_number() OVER (PARTITION BY sample, a, b ORDER BY d, i) AS rn, count(*) OVER (PARTITION BY sample, a, b) AS n FROM {p}nn)",
+        f"{p}rg AS (SELECT sample, a, b, avg(CASE WHEN rn > floor(n * 0.1::DOUBLE) AND rn <= n - floor(n * 0.1::DOUBLE) THEN d END) AS d, (count(DISTINCT CASE WHEN d - {reach} < 0 THEN nn END) >= 3)::INT AS adj FROM {p}ro GROUP BY 1, 2, 3)",
+        f"{p}rb AS (SELECT a, b, avg(d) AS d, max(adj) AS adj FROM {p}rg GROUP BY 1, 2)",
+    ]
+
+
 def _flow(table: str, extra: str = "") -> str:
     more = f", {extra}" if extra else ""
     return (
@@ -113,14 +137,6 @@ def queries() -> dict[str, str]:
         "SELECT lr_ix, side FROM (SELECT lr_ix, 0 AS side, ligand AS name FROM lr UNION ALL SELECT lr_ix, 1, receptor FROM lr) "
         "LEFT JOIN (SELECT * FROM complex WHERE member <> '') USING (name) WHERE coalesce(member, name) IN ('Brand#1', 'Brand#14')"
     )
-    drawn = [
-        f"lab AS (SELECT grp, row_number() OVER (ORDER BY cell) AS k FROM cells)",  # noqa: F541
-        "deal AS (SELECT b, cell, row_number() OVER (PARTITION BY b ORDER BY md5(cell::VARCHAR || '#' || b::VARCHAR), cell) AS k FROM cells, (SELECT unnest(range(1, 5)) AS b))",
-        "perm AS (SELECT b, cell, grp FROM deal JOIN lab USING (k))",
-        f"avg_b AS (SELECT gene, b, grp, {_TRI} AS value FROM (SELECT p.b, p.grp, g.gene, coalesce(e.value, 0) AS v FROM perm p CROSS JOIN genes g LEFT JOIN expr e USING (cell, gene)) GROUP BY gene, b, grp)",
-        *_tensor("b_", "avg_b", ("b", "grp")),
-        "above AS (SELECT lr_ix, src, tgt, sum((x.prob > o.prob)::INT) AS n FROM b_prob x JOIN o_prob o USING (lr_ix, src, tgt) GROUP BY 1, 2, 3)",
-    ]
     thresholded = "CASE WHEN count(*) FILTER (v <> 0) / count(*) < 0.8::DOUBLE THEN 0 ELSE sum(v) / count(*) END"
     support = [
         f"avg_p AS (SELECT gene, sample, grp, {thresholded} AS value FROM dense GROUP BY 1, 2, 3)",
@@ -142,12 +158,7 @@ def queries() -> dict[str, str]:
         "side AS (SELECT gene AS name, true AS measured, gene IN (SELECT gene FROM marked) AS marked FROM genes UNION ALL "
         "SELECT name, bool_and(member IN (SELECT gene FROM genes)), bool_or(member IN (SELECT gene FROM marked)) FROM complex WHERE member <> '' GROUP BY 1)"
     )
-    region = [
-        "nn AS (SELECT sample, i, a, b, min(d) AS d, arg_min(j, struct_pack(d := d, j := j)) AS nn FROM apart GROUP BY 1, 2, 3, 4)",
-        "ro AS (SELECT *, row_number() OVER (PARTITION BY sample, a, b ORDER BY d, i) AS rn, count(*) OVER (PARTITION BY sample, a, b) AS n FROM nn)",
-        "rg AS (SELECT sample, a, b, avg(CASE WHEN rn > floor(n * 0.1::DOUBLE) AND rn <= n - floor(n * 0.1::DOUBLE) THEN d END) AS d, (count(DISTINCT CASE WHEN d - 60 < 0 THEN nn END) >= 3)::INT AS adj FROM ro GROUP BY 1, 2, 3)",
-        "rb AS (SELECT a, b, avg(d) AS d, max(adj) AS adj FROM rg GROUP BY 1, 2)",
-    ]
+    region = _region("", "apart", 60)
     tail = {
         "norm_log1p": "SELECT cell, gene, " + _r("value") + " FROM norm",
         "global_max_scale": "SELECT cell, gene, " + _r("value") + " FROM expr",
@@ -172,19 +183,19 @@ def queries() -> dict[str, str]:
         "antagonist": "SELECT lr_ix, grp, " + _r("value") + " FROM o_antagonist",
         "commun_prob": f"SELECT lr_ix, src, tgt, {kept_net} FROM o_prob",
         "commun_prob_population": (pop, f"SELECT lr_ix, src, tgt, {kept_net} FROM pp"),
-        "commun_pval": (drawn, f"SELECT lr_ix, src, tgt, {kept_net}, CASE WHEN prob = 0 THEN 1 ELSE coalesce(n, 0) / 4 END::DOUBLE AS pval FROM o_prob LEFT JOIN above USING (lr_ix, src, tgt)"),
+        "commun_pval": f"SELECT lr_ix, src, tgt, {kept_net}, pval FROM seen",
         "filter_min_cells": "SELECT lr_ix, src, tgt, CASE WHEN src IN (SELECT grp FROM few) OR tgt IN (SELECT grp FROM few) THEN 0 ELSE round(prob, 6) + 0.0::DOUBLE END::DOUBLE AS prob FROM seen",
         "filter_min_samples": (support, "SELECT lr_ix, src, tgt, CASE WHEN partly AND n < 2 THEN 0 ELSE round(prob, 6) + 0.0::DOUBLE END::DOUBLE AS prob FROM (SELECT s.*, coalesce(n, 0) AS n, bool_or(coalesce(n, 0) > 0 AND coalesce(n, 0) < 2) OVER (PARTITION BY s.lr_ix) AS partly FROM seen s LEFT JOIN support USING (lr_ix, src, tgt))"),
         "aggregate_net": "SELECT src, tgt, count, " + _r("weight") + " FROM agg",
-        "aggregate_net_filtered": "SELECT src, tgt, count(*) AS count, " + _r("sum(prob)", "weight") + " FROM seen WHERE pval < 0.3 AND prob > 0 AND src IN ('BUILDING', 'MACHINERY') AND lr_ix <= 4 GROUP BY src, tgt",
+        "aggregate_net_filtered": "SELECT src, tgt, count(*) AS count, " + _r("sum(prob)", "weight") + " FROM seen WHERE pval < 0.05 AND prob > 0 AND src IN ('BUILDING', 'MACHINERY') AND lr_ix <= 4 GROUP BY src, tgt",
         "pathway_prob": f"SELECT pathway_ix, pathway_name, src, tgt, {kept_net} FROM netp",
         "subset_comm": f"SELECT src, tgt, ligand, receptor, {kept_net}, pval, interaction_name, pathway_name, annotation FROM kept",
         "subset_comm_netp": "SELECT src, tgt, pathway_name, " + _r("sum(prob)", "prob") + ", " + _r("avg(pval)", "pval") + " FROM kept GROUP BY 1, 2, 3",
         "find_enriched": f"SELECT src, tgt, interaction_name, {kept_net} FROM kept WHERE (ligand IN ('Brand#1', 'CX1') OR receptor IN ('Brand#1', 'CX1')) AND (src = 'BUILDING' OR tgt = 'BUILDING')",
         "pairwise_rank": "SELECT lr_ix, src, tgt, row_number() OVER (PARTITION BY src, tgt ORDER BY pval, round(prob, 9) DESC, lr_ix)::INT AS rnk FROM seen",
-        "enriched_interactions": "SELECT lr_ix, src, tgt, CASE WHEN pval > 0.05 THEN 0 ELSE round(prob, 6) END::DOUBLE AS prob, CASE WHEN pval > 0.05 THEN 1 WHEN pval > 0.01 THEN 2 ELSE 3 END::INT AS band FROM seen WHERE pval < 0.3 AND ((src = 'BUILDING' AND tgt = 'MACHINERY') OR (tgt = 'BUILDING' AND src = 'MACHINERY'))",
-        "enriched_pairs": "SELECT lr_ix, interaction_name, " + _r("sum(CASE WHEN pval >= 0.3 THEN 0 ELSE prob END)", "total") + " FROM seen JOIN lr USING (lr_ix) WHERE pathway_name = 'PB' GROUP BY 1, 2 HAVING sum(CASE WHEN pval >= 0.3 THEN 0 ELSE prob END) <> 0",
-        "contribution": "SELECT interaction_name, " + _r("s / sum(s) OVER ()", "contribution") + " FROM (SELECT interaction_name, sum((p - lo) / (hi - lo)) AS s FROM (SELECT *, min(p) OVER () AS lo, max(p) OVER () AS hi FROM (SELECT *, CASE WHEN pval > 0.3 THEN 0 ELSE prob END AS p FROM seen)) JOIN lr USING (lr_ix) WHERE pathway_name = 'PA' GROUP BY 1)",
+        "enriched_interactions": "SELECT lr_ix, src, tgt, CASE WHEN pval > 0.05 THEN 0 ELSE round(prob, 6) END::DOUBLE AS prob, CASE WHEN pval > 0.05 THEN 1 WHEN pval > 0.01 THEN 2 ELSE 3 END::INT AS band FROM seen WHERE pval < 0.05 AND ((src = 'BUILDING' AND tgt = 'MACHINERY') OR (tgt = 'BUILDING' AND src = 'MACHINERY'))",
+        "enriched_pairs": "SELECT lr_ix, interaction_name, " + _r("sum(CASE WHEN pval >= 0.05 THEN 0 ELSE prob END)", "total") + " FROM seen JOIN lr USING (lr_ix) WHERE pathway_name = 'PB' GROUP BY 1, 2 HAVING sum(CASE WHEN pval >= 0.05 THEN 0 ELSE prob END) <> 0",
+        "contribution": "SELECT interaction_name, " + _r("s / sum(s) OVER ()", "contribution") + " FROM (SELECT interaction_name, sum((p - lo) / (hi - lo)) AS s FROM (SELECT *, min(p) OVER () AS lo, max(p) OVER () AS hi FROM (SELECT *, CASE WHEN pval > 0.05 THEN 0 ELSE prob END AS p FROM seen)) JOIN lr USING (lr_ix) WHERE pathway_name = 'PA' GROUP BY 1)",
         "rank_net": ([_flow("netp")], "SELECT pathway_name, " + _r("total") + ", " + _r("flow") + " FROM flow"),
         "rank_net_compare": (["both_p AS (SELECT * FROM datasets JOIN lr USING (lr_ix))", _flow("both_p", "dataset")], "SELECT pathway_name, round(a, 6) + 0.0::DOUBLE AS flow_0, round(b, 6) + 0.0::DOUBLE AS flow_1, round(CASE WHEN a > 0 THEN b / a END, 6) + 0.0::DOUBLE AS ratio FROM (SELECT pathway_name, coalesce(max(flow) FILTER (dataset = 0), 0) AS a, coalesce(max(flow) FILTER (dataset = 1), 0) AS b FROM flow GROUP BY 1)"),
         "compare_totals": "SELECT dataset::INT AS dataset, count(*) FILTER (prob > 0) AS count, " + _r("sum(prob)", "weight") + " FROM datasets GROUP BY 1",
@@ -193,7 +204,7 @@ def queries() -> dict[str, str]:
         "merge_groups": "SELECT CASE WHEN length(src) > 9 THEN 'long' ELSE 'short' END AS src, CASE WHEN length(tgt) > 9 THEN 'long' ELSE 'short' END AS tgt, sum(count)::BIGINT AS count, " + _r("sum(weight)", "weight") + " FROM agg GROUP BY 1, 2",
         "bubble": f"SELECT src || ' -> ' || tgt AS source_target, interaction_name, {kept_net}, CASE WHEN pval > 0.05 THEN 1 WHEN pval > 0.01 THEN 2 ELSE 3 END::INT AS band FROM kept",
         "lift": "SELECT lr_ix, a.grp AS src, b.grp AS tgt, coalesce(round(prob, 6) + 0.0::DOUBLE, 0) AS prob, coalesce(pval, 1)::DOUBLE AS pval FROM (SELECT DISTINCT lr_ix FROM seen) CROSS JOIN (SELECT DISTINCT grp FROM cells UNION ALL SELECT 'NEW') a CROSS JOIN (SELECT DISTINCT grp FROM cells UNION ALL SELECT 'NEW') b LEFT JOIN seen s USING (lr_ix) WHERE 1 = 0",
-        "score_import": "SELECT lr_ix, src, tgt, " + _r("CASE WHEN src = tgt THEN prob ELSE prob * 2 END", "prob") + ", 0.0::DOUBLE AS pval FROM seen WHERE lr_ix <= 3",
+        "score_import": "SELECT lr_ix, src, tgt, " + _r("CASE WHEN src = tgt THEN prob ELSE prob * 2 END", "prob") + ", 0.0::DOUBLE AS pval FROM seen",
         "de_pct_fc": "SELECT gene, grp, pct_1 + 0.0::DOUBLE AS pct_1, pct_2 + 0.0::DOUBLE AS pct_2, " + _r("logfc") + " FROM shares",
         "wilcox_w": (wil, "SELECT gene, grp, n1, n2, w::DOUBLE AS w, " + _r("z") + " FROM wz"),
         "de_expressed": "SELECT gene, count(*) AS n FROM expr WHERE value > 0 GROUP BY 1 HAVING count(*) >= 100",
@@ -203,7 +214,7 @@ def queries() -> dict[str, str]:
         "degree_strength": "SELECT pathway_name, grp, outdeg_unweighted, indeg_unweighted, " + _r("outdeg") + ", " + _r("indeg") + " FROM degree",
         "signaling_role": "SELECT pathway_name, grp, " + _r("outdeg / max(outdeg) OVER w", "outgoing") + ", " + _r("indeg / max(indeg) OVER w", "incoming") + " FROM degree WINDOW w AS (PARTITION BY pathway_name)",
         "role_scatter": "SELECT grp, " + _r("sum(outdeg)", "x") + ", " + _r("sum(indeg)", "y") + ", (sum(outdeg_unweighted) + sum(indeg_unweighted) - (SELECT count(*) FROM netp z WHERE prob > 0 AND src = tgt AND src = d.grp))::BIGINT AS n FROM degree d GROUP BY grp",
-        "similarity_functional": "SELECT a, b, " + _r("k / (na + nb - k)", "value") + " FROM (SELECT x.pathway_name AS a, y.pathway_name AS b, count(*) AS k FROM slices x JOIN slices y USING (src, tgt) WHERE x.prob > 0 AND y.prob > 0 GROUP BY 1, 2) JOIN (SELECT pathway_name AS a, count(*) AS na FROM slices WHERE prob > 0 GROUP BY 1) USING (a) JOIN (SELECT pathway_name AS b, count(*) AS nb FROM slices WHERE prob > 0 GROUP BY 1) USING (b)",
+        "similarity_functional": "SELECT a, b, " + _r("k / (na + nb - k)", "value") + " FROM (SELECT x.pathway_name AS a, y.pathway_name AS b, count(*) AS k FROM netp x JOIN netp y USING (src, tgt) WHERE x.prob > 0 AND y.prob > 0 GROUP BY 1, 2) JOIN (SELECT pathway_name AS a, count(*) AS na FROM netp WHERE prob > 0 GROUP BY 1) USING (a) JOIN (SELECT pathway_name AS b, count(*) AS nb FROM netp WHERE prob > 0 GROUP BY 1) USING (b)",
         "knn_topk": "SELECT sample, node, neighbour, rnk, " + _r("d") + " FROM near WHERE rnk <= 5",
         "snn": (["nb AS (SELECT node, neighbour FROM near WHERE rnk <= 4 UNION ALL SELECT cell, cell FROM place)"], "SELECT i, j, round(w, 6) + 0.0::DOUBLE AS w FROM (SELECT a.node AS i, b.node AS j, CASE WHEN a.node = b.node THEN 1.0::DOUBLE ELSE count(*) / (10 - count(*)) END AS w FROM nb a JOIN nb b USING (neighbour) GROUP BY 1, 2) WHERE w >= 1 / 15"),
         "cell_distance": "SELECT sample, i, j, " + _r("d") + " FROM apart WHERE i < j AND d <= 20.5",
@@ -219,10 +230,18 @@ def queries() -> dict[str, str]:
     tail["contact_overlap"] = (overlap, "SELECT DISTINCT a AS src, b AS tgt, ((a, b) IN (SELECT (a, b) FROM hit) AND (b, a) IN (SELECT (a, b) FROM hit))::INT AS adjacent FROM nn")
     joined = "rd AS (SELECT x.a AS src, x.b AS tgt, CASE WHEN x.adj * y.adj = 1 THEN (x.d + y.d) / 2 END AS d FROM rb x JOIN rb y ON x.a = y.b AND x.b = y.a)"
     tail["spatial_weight"] = ([*region, joined, "rw AS (SELECT *, CASE WHEN src <> tgt AND d > 0 THEN 1 / (d * 0.01::DOUBLE) END AS w FROM rd)"], "SELECT src, tgt, " + _r("CASE WHEN src = tgt THEN max(w) OVER () ELSE coalesce(w, 0) END", "weight") + " FROM rw")
-    tail["commun_prob_contact"] = "SELECT lr_ix, src, tgt, " + _r("prob / (1 + abs(length(src) - length(tgt))) * CASE WHEN lr_ix > (SELECT max(lr_ix) FROM lr WHERE annotation <> 'Cell-Cell Contact') THEN (length(src) + length(tgt)) % 2 ELSE 1 END", "prob") + " FROM o_prob"
+    spots = [
+        "home AS (SELECT c_custkey AS cell, c_mktsegment AS grp, (c_custkey % 2)::INT AS sample, c_acctbal::DOUBLE AS x, (c_nationkey * 400)::DOUBLE AS y FROM customer)",
+        "apart_c AS (SELECT a.sample, a.cell AS i, b.cell AS j, a.grp AS a, b.grp AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM home a JOIN home b ON a.sample = b.sample)",
+        *_region("c_", "apart_c", 250),
+        "c_rd AS (SELECT x.a AS src, x.b AS tgt, x.adj * y.adj AS contact, CASE WHEN x.adj * y.adj = 1 THEN (x.d + y.d) / 2 END AS d FROM c_rb x JOIN c_rb y ON x.a = y.b AND x.b = y.a)",
+        "c_rw AS (SELECT *, CASE WHEN src <> tgt AND d > 0 THEN 1 / (d * 0.01::DOUBLE) END AS w FROM c_rd)",
+        "c_sw AS (SELECT src, tgt, contact, CASE WHEN src = tgt THEN max(w) OVER () ELSE coalesce(w, 0) END AS weight FROM c_rw)",
+    ]
+    tail["commun_prob_contact"] = (spots, "SELECT lr_ix, src, tgt, " + _r("prob * weight * CASE WHEN lr_ix > (SELECT max(lr_ix) FROM lr WHERE annotation <> 'Cell-Cell Contact') THEN contact ELSE 1 END", "prob") + " FROM o_prob JOIN c_sw USING (src, tgt)")
     paths = "dp AS (SELECT dataset, pathway_name, src, tgt, sum(prob) AS prob FROM datasets JOIN lr USING (lr_ix) GROUP BY ALL)"
     tail["similarity_pairwise"] = (
-        [paths, "live AS (SELECT pathway_name || '--' || dataset AS name, src, tgt FROM dp WHERE prob > 0 AND (length(src) * 5 + length(tgt) * 3 + dataset * 7) % 4 <> 0)", "size AS (SELECT name, count(*) AS n FROM live GROUP BY 1)"],
+        [paths, "live AS (SELECT pathway_name || '--' || dataset AS name, src, tgt FROM dp WHERE prob > 0)", "size AS (SELECT name, count(*) AS n FROM live GROUP BY 1)"],
         "SELECT a, b, " + _r("k / (x.n + y.n - k)", "value") + " FROM (SELECT p.name AS a, q.name AS b, count(*) AS k FROM live p JOIN live q USING (src, tgt) GROUP BY 1, 2) JOIN size x ON x.name = a JOIN size y ON y.name = b",
     )
     tail["rank_similarity"] = ([paths, "spot AS (SELECT dataset, pathway_name, sum(prob) AS s, max(prob) AS m FROM dp GROUP BY 1, 2)"], "SELECT pathway_name, " + _r("sqrt(pow(p.s - q.s, 2) + pow(p.m - q.m, 2))", "distance") + " FROM spot p JOIN spot q USING (pathway_name) WHERE p.dataset = 0 AND q.dataset = 1")
@@ -262,11 +281,16 @@ def queries() -> dict[str, str]:
     edges = [
         "ed AS (SELECT ligand AS g1, receptor AS g2 FROM lr WHERE ligand LIKE 'Brand%' AND receptor LIKE 'Brand%')",
         "st AS (SELECT g1, g2, 1 / count(*) OVER (PARTITION BY g1) AS w FROM (SELECT g1, g2 FROM ed UNION SELECT g2, g1 FROM ed))",
-        "m0 AS (SELECT * FROM expr)",
+        # the walk with restart until 2^-45 of the values are left, far below what is rounded
+        "k0 AS (SELECT DISTINCT g1 AS a, g1 AS b, 1.0::DOUBLE AS v FROM st)",
     ]
-    for k in (1, 2, 3):
-        edges.append(f"m{k} AS (SELECT cell, gene, sum(value) AS value FROM (SELECT cell, gene, value * CASE WHEN gene IN (SELECT g1 FROM st) THEN 0.5::DOUBLE ELSE 1 END AS value FROM expr UNION ALL SELECT cell, g1, value * w * 0.5::DOUBLE FROM m{k - 1} JOIN st ON gene = g2) GROUP BY 1, 2)")
-    tail["smooth"] = (edges, "SELECT cell, gene, " + _r("value") + " FROM m3")
+    for k in range(1, 46):
+        edges.append(f"k{k} AS MATERIALIZED (SELECT a, b, sum(v) AS v FROM (SELECT g1 AS a, g1 AS b, 0.5::DOUBLE AS v FROM (SELECT DISTINCT g1 FROM st) UNION ALL SELECT g1, b, v * w * 0.5::DOUBLE FROM k{k - 1} JOIN st ON g2 = a) GROUP BY 1, 2)")
+    tail["smooth"] = (
+        edges,
+        "SELECT cell, gene, " + _r("value") + " FROM (SELECT cell, a AS gene, sum(value * v) AS value FROM expr JOIN k45 ON gene = b WHERE a IN (SELECT gene FROM genes) GROUP BY 1, 2 "
+        "UNION ALL SELECT cell, gene, value FROM expr WHERE gene NOT IN (SELECT g1 FROM st))",
+    )
     few = "few AS (SELECT grp FROM cells GROUP BY grp HAVING count(*) <= (SELECT min(n) FROM (SELECT count(*) AS n FROM cells GROUP BY grp)))"
     tail["filter_min_cells"] = ([few], tail["filter_min_cells"])
     tail["lift"] = (
