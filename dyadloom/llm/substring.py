@@ -1,29 +1,30 @@
 """Removal of repeated passages, found by recompression.
 
-Each text becomes a sequence of 128-bit word names. Rounds of recompression split
-the symbols in force into two classes by a hash of their names and put every
-(first class, second class) neighbour pair under one new name, itself a hash of the
-pair, so a name means the same in every document without a dictionary. A symbol
-next to an equal one is in the same class, hence a run never pairs within itself:
-each of its places stays a boundary, which a window lying in the run needs.
-
-Locality. After r rounds whether a symbol begins at word p depends on the
-2^(r-1) words on either side, and symbols hold at most 2^r words. With three
-rounds, any 9 consecutive places have a boundary, so each 20-word window has one
-with 6 words of the window on either side, and equal windows have the same ones.
-A boundary is shared if its 12-word context occurs twice; a window can repeat only
-if all its inner boundaries are shared. Only those windows are then compared, by
-96 bits of their names, and the smallest (doc_id, start) of each is left alone.
-
-Messages between stages are packed: documents travel as compressed batches, names
-as one array for each (bucket, batch), answers as one bit a name. A name is sent
-once for each batch, however often it occurs, so a passage that a third of the
-corpus holds loads no task more than another.
+Each text becomes a sequence of symbols, at first its words, named by a keyed 128-bit
+digest. A round of recompression collapses runs of equal symbols and then puts every
+neighbour pair of a first-class and a second-class symbol under one new name; classes
+follow from names, so equal stretches get equal symbols in their interior. Names of all
+symbols of a round go to buckets, where Spark counts them over the whole corpus, and
+the answer goes back before the next round: a symbol that occurs once is no part of a
+repeat, so it never pairs again and sends nothing more.
+
+Locality. Each symbol carries the range of words that its making depended on: its own,
+its neighbours' at each step, and the edge of the document, if it looked there. Two
+equal windows that hold a symbol's whole range both have that symbol. Hence a window
+over the range of a symbol that occurs once does not repeat, and all others are
+compared exactly, by 128 bits over the digests of their words. Inside a run no symbol's
+range fits into a window, so such windows are compared too.
+
+Messages between stages are packed: documents travel as compressed batches, names as
+one array for each (bucket, batch), answers as one bit a name. A name is sent once for
+each batch, however often it occurs, so a passage that a third of the corpus holds
+loads no task more than another.
 """
 
 from __future__ import annotations
 
 import gc
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -37,35 +38,26 @@ from .common import mix64, settle
 
 #: Bytes of text in a batch, and of text for each bucket of names.
 BATCH = 4 << 20
-BUCKET = 24 << 20
-LEAST_BUCKETS = 24
+BUCKET = 8 << 20
+LEAST_BUCKETS = 6
 ROUNDS = 3
-_SIDE = 6
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Key of the digests of words: names are the same wherever it is.
+KEY = b"dyadloom words"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_BLOCK = 1 << 18
 _NONE = np.iinfo(np.int64).max
+_FAR = np.int64(1) << np.int64(60)
 
 
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base))
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS = [(_powers(int(b), _BLOCK + 1), _powers(_inverse(int(b)), _BLOCK + 1)) for b in _BASES]
+# --- batches of documents -------------------------------------------------------
 
 
-# --- batches of documents -------------------------------------------------------
+def _tie(text: bytes) -> int:
+    """Order of rows that share a doc_id: by their texts, whatever the partitions."""
+    return int.from_bytes(blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
 def _packed(docs: list[tuple[int | None, bytes]]) -> bytes:
-    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, d[1]))
+    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, _tie(d[1])))
     head = np.array([len(docs), *(0 if i is None else i for i, _ in docs), *(i is None for i, _ in docs), *(len(t) for _, t in docs)], "<i8")
     return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(t for _, t in docs))
 
@@ -100,25 +92,6 @@ def _pack(batches):
 # --- names ------------------------------------------------------------------------
 
 
-def _word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit names of each word, polynomials over its bytes, mixed."""
-    out = [np.empty(len(starts), np.uint64) for _ in _BASES]
-    k = 0
-    while k < len(starts):
-        stop = max(k + 1, int(np.searchsorted(ends, starts[k] + _BLOCK, side="right")))
-        lo, hi = starts[k], ends[stop - 1]
-        block = data[lo:hi].astype(np.uint64) + np.uint64(1)
-        for name, base, (up, down) in zip(out, _BASES, _POWERS):
-            if hi - lo > _BLOCK:  # a single word longer than a block
-                up, down = _powers(int(base), hi - lo), down[:1]
-            sums = np.zeros(hi - lo + 1, np.uint64)
-            np.cumsum(block * up[: hi - lo], out=sums[1:])
-            s = starts[k:stop] - lo
-            name[k:stop] = mix64((sums[ends[k:stop] - lo] - sums[s]) * down[s] + (ends[k:stop] - starts[k:stop]).astype(np.uint64) * base)
-        k = stop
-    return out
-
-
 def _spans(names: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     """Name of names[i : i + width] for every i at which it fits, by doubling."""
     if len(names) < width:
@@ -139,61 +112,110 @@ def _spans(names: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     return mix64(out[: len(names) - width + 1])
 
 
+def _joined(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
+    return mix64(mix64(left + np.uint64(salt)) * _BASES[0] + right * _BASES[1])
+
+
+class _Symbols:
+    """A round's symbols over the words of a batch: name, first word, range of words that
+    it depends on, document, and whether it may still be part of a repeat."""
+
+    def __init__(self, name, at, lo, hi, doc, live):
+        self.name, self.at, self.lo, self.hi, self.doc, self.live = name, at, lo, hi, doc, live
+
+    def _beside(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ranges' ends of the symbols before and after, beyond reach at an edge."""
+        before, after = np.full(len(self.at), -_FAR), np.full(len(self.at), _FAR)
+        same = self.doc[1:] == self.doc[:-1]
+        before[1:][same], after[:-1][same] = self.lo[:-1][same], self.hi[1:][same]
+        return before, after
+
+    def collapsed(self, salt: int) -> _Symbols:
+        """Runs of equal symbols as one, of their name and length."""
+        n = len(self.name)
+        begins = np.ones(n, bool)
+        begins[1:] = (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1]) | ~self.live[1:] | ~self.live[:-1]
+        first = np.flatnonzero(begins)
+        last = np.append(first[1:], n) - 1 if n else first
+        length = (last - first + 1).astype(np.uint64)
+        before, after = self._beside()
+        name = np.where(length > 1, _joined(self.name[first], length, salt), self.name[first])
+        return _Symbols(name, self.at[first], np.minimum(self.lo[first], before[first]), np.maximum(self.hi[last], after[last]), self.doc[first], self.live[first])
+
+    def paired(self, salt: int) -> _Symbols:
+        """Every neighbour pair of a first and a second class as one symbol."""
+        second = mix64(self.name + np.uint64(salt)) >> np.uint64(63) == 1
+        pair = np.zeros(len(self.name), bool)  # of a symbol with the one after it
+        pair[:-1] = ~second[:-1] & second[1:] & (self.doc[1:] == self.doc[:-1]) & self.live[1:] & self.live[:-1]
+        ends = np.zeros(len(self.name), bool)
+        ends[1:] = pair[:-1]
+        before, after = self._beside()
+        alone = ~pair & ~ends
+        lo = np.where(alone & second, np.minimum(self.lo, before), self.lo)
+        hi = np.where(alone & ~second, np.maximum(self.hi, after), self.hi)
+        name, live = self.name.copy(), self.live.copy()
+        k = np.flatnonzero(pair)
+        name[k] = _joined(self.name[k], self.name[k + 1], salt)
+        lo[k], hi[k] = np.minimum(self.lo[k], self.lo[k + 1]), np.maximum(self.hi[k], self.hi[k + 1])
+        keep = ~ends
+        return _Symbols(name[keep], self.at[keep], lo[keep], hi[keep], self.doc[keep], live[keep])
+
+    def units(self, width: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, lo, hi, symbol) of what is counted: live symbols whose range a window can
+        hold; in the last round each with its two neighbours, which tell more."""
+        key, lo, hi, live, some = self.name, self.lo, self.hi, self.live, np.arange(len(self.name))
+        if last:
+            side = lambda x: (x[:-2], x[1:-1], x[2:])
+            a, b, c = side(self.name)
+            key, some = _joined(_joined(a, b, 3), c, 3), some[1:-1]
+            lo, hi, live = np.minimum.reduce(side(lo)), np.maximum.reduce(side(hi)), np.logical_and.reduce(side(live))
+            live = live & (self.doc[:-2] == self.doc[2:])
+        fit = live & (hi - lo <= width)
+        return key[fit], lo[fit], hi[fit], some[fit]
+
+
 class _Batch:
-    """Words, boundaries and windows of one batch, all as arrays over its words."""
+    """Words and windows of one batch as arrays over its words, with the rounds run as far
+    as there are answers; ``key`` then has the names to be counted next."""
 
-    def __init__(self, blob: bytes, width: int):
+    def __init__(self, blob: bytes, width: int, answers: list[dict[int, bytes]], n_buckets: int):
         self.ids, self.texts = _unpacked(blob)
-        data = np.frombuffer(b"\n".join([*self.texts, b""]) if self.texts else b"", np.uint8)
-        word = np.concatenate([[False], ~_SPACE[data], [False]])
-        edge = np.flatnonzero(word[1:] != word[:-1])
-        starts, ends = edge[::2], edge[1::2]
-        begins = np.cumsum([0, *(len(t) + 1 for t in self.texts)])
-        self.first = np.searchsorted(starts, begins)  # of each document, among the words
-        self.doc = np.repeat(np.arange(len(self.texts)), np.diff(self.first))
-        self.names = _word_names(data, starts, ends)
-        self.width, n = width, len(starts)
-        end = self.first[1:][self.doc]
-        self.valid = np.flatnonzero(np.arange(n) + width <= end)  # where windows start
-        self.marks = self._boundaries(n, end)
-        self.context = _spans(self.names[0], 2 * _SIDE, _BASES[1])[self.marks - _SIDE]
-
-    def _boundaries(self, n: int, end: np.ndarray) -> np.ndarray:
-        """Words at which a symbol of the last round begins, with a context each."""
-        name, at, doc = self.names[1], np.arange(n), self.doc
+        split = [t.split() for t in self.texts]
+        self.first = np.cumsum([0, *map(len, split)])  # of each document, among the words
+        words = [w for s in split for w in s]
+        self.words = split
+        place = {w: k for k, w in enumerate(dict.fromkeys(words))}
+        digests = np.frombuffer(b"".join(blake2b(w, digest_size=16, key=KEY).digest() for w in place), "<u8").reshape(-1, 2)
+        which = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        self.names = [digests[which, 0], digests[which, 1]]
+        n = len(words)
+        self.width, self.doc = width, np.repeat(np.arange(len(split)), np.diff(self.first))
+        at = np.arange(n)
+        self.valid = np.flatnonzero(at + width <= self.first[1:][self.doc])  # where windows start
+        self.alone = np.full(n + 1, _FAR)  # least end of a range that starts here and occurs once
+        now = _Symbols(self.names[0], at, at, at + 1, self.doc, np.ones(n, bool))
         for r in range(ROUNDS):
-            second = mix64(name + np.uint64(2 * r + 1)) >> np.uint64(63) == 1
-            pair = ~second[:-1] & second[1:] & (doc[at[:-1]] == doc[at[1:]])
-            new = name.copy()
-            new[:-1][pair] = mix64(name[:-1][pair] * _BASES[0] + name[1:][pair] * _BASES[1] + np.uint64(r + 1))
-            keep = np.concatenate([np.ones(min(n, 1), bool), ~pair])
-            name, at = new[keep], at[keep]
-        return at[(at - self.first[:-1][doc[at]] >= _SIDE) & (end[at] - at >= _SIDE)]
-
-    def candidates(self, answers: dict[int, bytes], n_buckets: int) -> np.ndarray:
-        """Starts of the windows whose inner boundaries are all shared."""
-        key, back, count = np.unique(self.context, return_inverse=True, return_counts=True)
-        shared = (count > 1) | _answered(key, answers, n_buckets)
-        n = len(self.doc)
-        total, common = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-        total[self.marks + 1] = 1
-        common[self.marks + 1] = shared[back]
-        total, common = total.cumsum(), common.cumsum()
-        lo, hi = self.valid + _SIDE, self.valid + self.width - _SIDE + 1
-        return self.valid[(total[hi] - total[lo] == common[hi] - common[lo])]
-
-    def windows(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows among ``starts`` by two names, where each is first, and which each start has."""
-        a, b = (_spans(x, self.width, _BASES[0])[starts] for x in self.names)
-        both = np.empty(len(a), [("a", "<u8"), ("b", "<u4")])
-        both["a"], both["b"] = a, (b >> np.uint64(32)).astype(np.uint32)
-        order = np.lexsort((both["b"], both["a"]))
-        s = both[order]
-        new = np.concatenate([np.ones(min(len(s), 1), bool), s[1:] != s[:-1]])
-        back = np.empty(len(s), np.int64)
+            now = now.collapsed(4 * r + 1).paired(4 * r + 2)
+            key, lo, hi, which = now.units(width, r == ROUNDS - 1)
+            self.key, back, count = np.unique(key, return_inverse=True, return_counts=True)
+            if r == len(answers):
+                return
+            once = ~((count > 1) | _answered(self.key, answers[r], n_buckets))[back]
+            now.live[which[once]] = False
+            np.minimum.at(self.alone, lo[once], hi[once])
+        ends = np.minimum.accumulate(self.alone[::-1])[::-1]
+        self.starts = self.valid[ends[self.valid] > self.valid + width]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows among the candidates by two names, where each is first, and which each start has."""
+        a, b = (_spans(x, self.width, _BASES[0])[self.starts] for x in self.names)
+        order = np.lexsort((b, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+        back = np.empty(len(a), np.int64)
         back[order] = np.cumsum(new) - 1
         first = order[new]  # lexsort is stable, and starts ascend: the smallest start
-        return s["a"][new], s["b"][new], first, back
+        return a[first], b[first], first, back
 
 
 def _bucket(key: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -224,11 +246,27 @@ def _rows(names: list[str], types: list, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
 
-def _send_contexts(width: int, n_buckets: int):
+def _known(got) -> list[dict[int, bytes]]:
+    """Answers of the rounds so far, by round and bucket."""
+    out: list[dict[int, bytes]] = []
+    for x in got or ():
+        while len(out) <= x["round"]:
+            out.append({})
+        out[x["round"]][x["bucket"]] = x["bits"]
+    return out
+
+
+def _rounds_of(got, done: int) -> list[dict[int, bytes]]:
+    out = _known(got)
+    return out + [{} for _ in range(done - len(out))]
+
+
+def _send_symbols(width: int, n_buckets: int, done: int):
     def send(batches):
         for batch in batches:
-            for k, blob in zip(batch.column("batch").to_pylist(), batch.column("blob")):
-                key = np.unique(_Batch(blob.as_py(), width).context)
+            known = batch.column("known").to_pylist() if done else [None] * batch.num_rows
+            for k, blob, got in zip(batch.column("batch").to_pylist(), batch.column("blob"), known):
+                key = _Batch(blob.as_py(), width, _rounds_of(got, done), n_buckets).key
                 low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                 yield _rows(["bucket", "batch", "names"], [pa.int64(), pa.int64(), pa.binary()], [(b, k, low[s].tobytes()) for b, s in _by_bucket(key, n_buckets)])
 
@@ -252,16 +290,17 @@ def _shared(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
 
 
 def _send_windows(width: int, n_buckets: int):
+    names = ["bucket", "batch", "a", "b", "doc", "tie"]
+
     def send(batches):
         for batch in batches:
-            for k, blob, got in zip(batch.column("batch").to_pylist(), batch.column("blob"), batch.column("shared").to_pylist()):
-                own = _Batch(blob.as_py(), width)
-                starts = own.candidates({x["bucket"]: x["bits"] for x in got or ()}, n_buckets)
-                a, b, first, _ = own.windows(starts)
-                ids = np.array([_NONE if i is None else i for i in own.ids], np.int64)
-                doc = ids[own.doc[starts[first]]] if len(first) else np.zeros(0, np.int64)
-                rows = [(x, k, a[s].tobytes(), b[s].tobytes(), doc[s].tobytes()) for x, s in _by_bucket(a, n_buckets)]
-                yield _rows(["bucket", "batch", "a", "b", "doc"], [pa.int64(), pa.int64(), *[pa.binary()] * 3], rows)
+            for k, blob, got in zip(batch.column("batch").to_pylist(), batch.column("blob"), batch.column("known").to_pylist()):
+                own = _Batch(blob.as_py(), width, _rounds_of(got, ROUNDS), n_buckets)
+                a, b, first, _ = own.windows()
+                ids, ties = np.array([_NONE if i is None else i for i in own.ids], np.int64), np.array([_tie(t) for t in own.texts], np.int64)
+                doc = own.doc[own.starts[first]]
+                rows = [(x, k, a[s].tobytes(), b[s].tobytes(), ids[doc[s]].tobytes(), ties[doc[s]].tobytes()) for x, s in _by_bucket(a, n_buckets)]
+                yield _rows(names, [pa.int64(), pa.int64(), *[pa.binary()] * 4], rows)
 
     return send
 
@@ -271,9 +310,9 @@ def _later(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t[c]]
     parts = read("a", "<u8")
     sizes = [len(p) for p in parts]
-    a, b, doc = np.concatenate(parts), np.concatenate(read("b", "<u4")), np.concatenate(read("doc", "<i8"))
+    a, b, doc, tie = np.concatenate(parts), *(np.concatenate(read(c, k)) for c, k in (("b", "<u8"), ("doc", "<i8"), ("tie", "<i8")))
     batch = np.repeat(t["batch"].to_numpy(), sizes)
-    order = np.lexsort((batch, doc, b, a))
+    order = np.lexsort((batch, tie, doc, b, a))
     same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
     bits = np.zeros(len(a), bool)
     bits[order[1:]] = same
@@ -285,19 +324,19 @@ def _keep(width: int, n_buckets: int):
 
     def keep(batches):
         for batch in batches:
-            for blob, got, later in zip(batch.column("blob"), batch.column("shared").to_pylist(), batch.column("later").to_pylist()):
-                own = _Batch(blob.as_py(), width)
-                starts = own.candidates({x["bucket"]: x["bits"] for x in got or ()}, n_buckets)
-                a, _, first, back = own.windows(starts)
-                repeat = _answered(a, {x["bucket"]: x["bits"] for x in later or ()}, n_buckets)[back]
-                repeat |= np.arange(len(starts)) != first[back]
+            for blob, got in zip(batch.column("blob"), batch.column("known").to_pylist()):
+                later = {x["bucket"]: x["bits"] for x in got or () if x["round"] == ROUNDS}
+                own = _Batch(blob.as_py(), width, _rounds_of([x for x in got or () if x["round"] < ROUNDS], ROUNDS), n_buckets)
+                a, _, first, back = own.windows()
+                repeat = _answered(a, later, n_buckets)[back]
+                repeat |= np.arange(len(own.starts)) != first[back]
                 cover = np.zeros(len(own.doc) + 1, np.int64)
-                np.add.at(cover, starts[repeat], 1)
-                np.add.at(cover, starts[repeat] + width, -1)
+                np.add.at(cover, own.starts[repeat], 1)
+                np.add.at(cover, own.starts[repeat] + width, -1)
                 stay = cover.cumsum()[:-1] == 0
                 out = []
-                for i, text, lo, hi in zip(own.ids, own.texts, own.first, own.first[1:]):
-                    words, mask = text.split(), stay[lo:hi]
+                for i, words, lo, hi in zip(own.ids, own.words, own.first, own.first[1:]):
+                    mask = stay[lo:hi]
                     n = int(mask.sum())
                     if n < len(words):
                         words = [words[j] for j in np.flatnonzero(mask)]
@@ -307,10 +346,6 @@ def _keep(width: int, n_buckets: int):
     return keep
 
 
-def _collected(answers: DataFrame, name: str) -> DataFrame:
-    return answers.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
-
-
 def _free(spark) -> None:
     """Let shuffle files of finished rounds go."""
     gc.collect()
@@ -321,27 +356,36 @@ def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for every row: ``kept`` is the words left.
 
     A word goes if some window of ``width`` words over it also starts earlier, by
-    (doc_id, start), in the input as it is. Null texts have no words. A null doc_id
-    comes after all others. Rows that repeat a doc_id count as documents of their
-    own, in an order fixed within a run. Other columns of ``docs`` are not read.
+    (doc_id, start), in the input as it is. Null texts have no words, an empty table has
+    no rows, and a text of any length is one task's, a batch to itself. A null doc_id
+    comes after all others. Rows that repeat a doc_id count as documents of their own, in
+    the order of a digest of their texts, so reruns agree however the rows are split.
+    Other columns of ``docs`` are not read.
     """
-    if width < 2 * _SIDE + (1 << ROUNDS) - 1:
-        raise ValueError(f"width must be {2 * _SIDE + (1 << ROUNDS) - 1} or more")
+    if width < 2:
+        raise ValueError("a window has two words or more")
     spark = docs.sparkSession
     text = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
     packs = settle(text.mapInArrow(_pack, "batch long, n_bytes long, blob binary"), "packs")
     n_bytes = packs.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(LEAST_BUCKETS, -(-n_bytes // BUCKET))
-    answer = "batch long, bucket long, bits binary"
-    names = packs.select("batch", "blob").mapInArrow(_send_contexts(width, n_buckets), "bucket long, batch long, names binary")
-    shared = settle(names.groupBy("bucket").applyInArrow(_shared, answer), "shared")
-    _free(spark)
-    known = packs.select("batch", "blob").join(_collected(shared, "shared"), "batch", "left")
-    sent = known.mapInArrow(_send_windows(width, n_buckets), "bucket long, batch long, a binary, b binary, doc binary")
-    later = settle(sent.groupBy("bucket").applyInArrow(_later, answer), "later")
-    _free(spark)
-    return (
-        known.join(_collected(later, "later"), "batch", "left")
-        .mapInArrow(_keep(width, n_buckets), "doc_id long, n_words long, n_removed long, kept binary")
-        .withColumn("kept", F.col("kept").cast("string"))
-    )
+    answer, blobs, answers = "batch long, bucket long, bits binary", packs.select("batch", "blob"), None
+
+    def known() -> DataFrame:
+        if answers is None:
+            return blobs
+        told = answers.groupBy("batch").agg(F.collect_list(F.struct("round", "bucket", "bits")).alias("known"))
+        return blobs.join(told, "batch", "left")
+
+    for r in range(ROUNDS + 1):
+        if r < ROUNDS:
+            sent = known().mapInArrow(_send_symbols(width, n_buckets, r), "bucket long, batch long, names binary")
+            told = sent.groupBy("bucket").applyInArrow(_shared, answer)
+        else:
+            sent = known().mapInArrow(_send_windows(width, n_buckets), "bucket long, batch long, a binary, b binary, doc binary, tie binary")
+            told = sent.groupBy("bucket").applyInArrow(_later, answer)
+        told = settle(told, f"round-{r}").withColumn("round", F.lit(r))
+        answers = told if answers is None else answers.unionByName(told)
+        _free(spark)
+    rows = known().mapInArrow(_keep(width, n_buckets), "doc_id long, n_words long, n_removed long, kept binary")
+    return rows.withColumn("kept", F.col("kept").cast("string"))
