@@ -1,18 +1,18 @@
 """Removal of repeated passages, found by recompression.
 
-Each text becomes a sequence of symbols, at first its words, named by a keyed 128-bit
-digest. A round of recompression collapses runs of equal symbols and then puts every
-neighbour pair of a first-class and a second-class symbol under one new name; classes
-follow from names, so equal stretches get equal symbols in their interior. Names of all
-symbols of a round go to buckets, where Spark counts them over the whole corpus, and
-the answer goes back before the next round: a symbol that occurs once is no part of a
-repeat, so it never pairs again and sends nothing more.
+Each text becomes a sequence of symbols, at first its words, named by 128 bits: the
+word itself, or a digest of a long one. A round of recompression collapses runs of
+equal symbols and then puts every neighbour pair of a first-class and a second-class
+symbol under one new name; classes follow from names, so equal stretches get equal
+symbols in their interior. After the later rounds all names go to buckets, where Spark
+counts them over the whole corpus, and the answer goes back: a symbol that occurs once
+is no part of a repeat, so it never pairs again and sends nothing more.
 
 Locality. Each symbol carries the range of words that its making depended on: its own,
 its neighbours' at each step, and the edge of the document, if it looked there. Two
 equal windows that hold a symbol's whole range both have that symbol. Hence a window
 over the range of a symbol that occurs once does not repeat, and all others are
-compared exactly, by 128 bits over the digests of their words. Inside a run no symbol's
+compared by 128 bits over the names of their words. Inside a run no symbol's
 range fits into a window, so such windows are compared too.
 
 Messages between stages are packed: documents travel as compressed batches, names as
@@ -41,7 +41,10 @@ BATCH = 4 << 20
 BUCKET = 8 << 20
 LEAST_BUCKETS = 6
 ROUNDS = 3
-#: Key of the digests of words: names are the same wherever it is.
+#: Rounds after which symbols are counted. The first leaves pairs of common words, most
+#: of which occur twice anywhere, so asking about them would only cost a pass.
+COUNTED = (1, 2)
+#: Parameter of the digests of words: names are the same wherever it is.
 KEY = b"dyadloom words"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _NONE = np.iinfo(np.int64).max
@@ -92,6 +95,27 @@ def _pack(batches):
 # --- names ------------------------------------------------------------------------
 
 
+def _word_names(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each word. Up to 15 bytes they are the word itself and its
+    length, longer words have a 120-bit digest; a keyed bijection then mixes both halves."""
+    size = np.asarray(pc.binary_length(words)).astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    wide = np.zeros((len(words), 16), np.uint8)
+    short = size < 16
+    for k in range(15):
+        own = np.flatnonzero(short & (size > k))
+        wide[own, k] = data[ends[own] + k]
+    wide[:, 15] = np.where(short, size, 255)
+    for i in np.flatnonzero(~short):
+        wide[i, :15] = np.frombuffer(blake2b(words[int(i)].as_buffer(), digest_size=15, person=KEY).digest(), np.uint8)
+    a, b = wide.view("<u8").T.copy()
+    for salt in (1, 2):
+        a = a ^ mix64(b + _BASES[0] + np.uint64(salt))
+        b = b ^ mix64(a + _BASES[1] + np.uint64(salt))
+    return a, b
+
+
 def _spans(names: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     """Name of names[i : i + width] for every i at which it fits, by doubling."""
     if len(names) < width:
@@ -139,7 +163,8 @@ class _Symbols:
         last = np.append(first[1:], n) - 1 if n else first
         length = (last - first + 1).astype(np.uint64)
         before, after = self._beside()
-        name = np.where(length > 1, _joined(self.name[first], length, salt), self.name[first])
+        name, runs = self.name[first], np.flatnonzero(length > 1)
+        name[runs] = _joined(name[runs], length[runs], salt)
         return _Symbols(name, self.at[first], np.minimum(self.lo[first], before[first]), np.maximum(self.hi[last], after[last]), self.doc[first], self.live[first])
 
     def paired(self, salt: int) -> _Symbols:
@@ -180,42 +205,44 @@ class _Batch:
 
     def __init__(self, blob: bytes, width: int, answers: list[dict[int, bytes]], n_buckets: int):
         self.ids, self.texts = _unpacked(blob)
-        split = [t.split() for t in self.texts]
-        self.first = np.cumsum([0, *map(len, split)])  # of each document, among the words
-        words = [w for s in split for w in s]
-        self.words = split
-        place = {w: k for k, w in enumerate(dict.fromkeys(words))}
-        digests = np.frombuffer(b"".join(blake2b(w, digest_size=16, key=KEY).digest() for w in place), "<u8").reshape(-1, 2)
-        which = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
-        self.names = [digests[which, 0], digests[which, 1]]
-        n = len(words)
-        self.width, self.doc = width, np.repeat(np.arange(len(split)), np.diff(self.first))
+        lists = pc.ascii_split_whitespace(pa.array(self.texts, pa.string()))  # with empty words at the ends of texts
+        words = lists.flatten()
+        some = np.asarray(pc.binary_length(words)) > 0
+        of = np.repeat(np.arange(len(self.texts)), lists.value_lengths().to_numpy())[some]
+        self.first = np.searchsorted(of, np.arange(len(self.texts) + 1))  # of each document, among the words
+        coded = words.filter(pa.array(some)).dictionary_encode()
+        which = coded.indices.to_numpy()
+        self.names = [name[which] for name in _word_names(coded.dictionary)]
+        n = len(which)
+        self.width, self.doc = width, of
         at = np.arange(n)
         self.valid = np.flatnonzero(at + width <= self.first[1:][self.doc])  # where windows start
         self.alone = np.full(n + 1, _FAR)  # least end of a range that starts here and occurs once
         now = _Symbols(self.names[0], at, at, at + 1, self.doc, np.ones(n, bool))
         for r in range(ROUNDS):
             now = now.collapsed(4 * r + 1).paired(4 * r + 2)
+            if r not in COUNTED:
+                continue
             key, lo, hi, which = now.units(width, r == ROUNDS - 1)
             self.key, back, count = np.unique(key, return_inverse=True, return_counts=True)
-            if r == len(answers):
+            asked = COUNTED.index(r)
+            if asked == len(answers):
                 return
-            once = ~((count > 1) | _answered(self.key, answers[r], n_buckets))[back]
+            once = ~((count > 1) | _answered(self.key, answers[asked], n_buckets))[back]
             now.live[which[once]] = False
             np.minimum.at(self.alone, lo[once], hi[once])
         ends = np.minimum.accumulate(self.alone[::-1])[::-1]
         self.starts = self.valid[ends[self.valid] > self.valid + width]
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows among the candidates by two names, where each is first, and which each start has."""
+        """Names of the distinct windows among the candidates, where each is first, and the
+        starts that repeat one of them in this batch."""
         a, b = (_spans(x, self.width, _BASES[0])[self.starts] for x in self.names)
-        order = np.lexsort((b, a))
+        order = np.lexsort((b, a))  # stable, and starts ascend: the smallest start comes first
         new = np.ones(len(a), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        back = np.empty(len(a), np.int64)
-        back[order] = np.cumsum(new) - 1
-        first = order[new]  # lexsort is stable, and starts ascend: the smallest start
-        return a[first], b[first], first, back
+        first = order[new]
+        return a[first], b[first], self.starts[first], self.starts[order[~new]]
 
 
 def _bucket(key: np.ndarray, n_buckets: int) -> np.ndarray:
@@ -289,58 +316,66 @@ def _shared(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     return _answer(count[back] > 1, sizes, t["batch"], key[0].as_py())
 
 
+#: The bucket of a message that needs no answer: the repeats a batch found in itself.
+_OWN = -1
+
+
 def _send_windows(width: int, n_buckets: int):
-    names = ["bucket", "batch", "a", "b", "doc", "tie"]
+    names = ["bucket", "batch", "a", "b", "doc", "tie", "start"]
 
     def send(batches):
         for batch in batches:
             for k, blob, got in zip(batch.column("batch").to_pylist(), batch.column("blob"), batch.column("known").to_pylist()):
-                own = _Batch(blob.as_py(), width, _rounds_of(got, ROUNDS), n_buckets)
-                a, b, first, _ = own.windows()
+                own = _Batch(blob.as_py(), width, _rounds_of(got, len(COUNTED)), n_buckets)
+                a, b, first, again = own.windows()
                 ids, ties = np.array([_NONE if i is None else i for i in own.ids], np.int64), np.array([_tie(t) for t in own.texts], np.int64)
-                doc = own.doc[own.starts[first]]
-                rows = [(x, k, a[s].tobytes(), b[s].tobytes(), ids[doc[s]].tobytes(), ties[doc[s]].tobytes()) for x, s in _by_bucket(a, n_buckets)]
-                yield _rows(names, [pa.int64(), pa.int64(), *[pa.binary()] * 4], rows)
+                doc, start = own.doc[first], first.astype("<u4")
+                rows = [(x, k, a[s].tobytes(), b[s].tobytes(), ids[doc[s]].tobytes(), ties[doc[s]].tobytes(), start[s].tobytes()) for x, s in _by_bucket(a, n_buckets)]
+                rows.append((_OWN - k, k, b"", b"", b"", b"", again.astype("<u4").tobytes()))
+                yield _rows(names, [pa.int64(), pa.int64(), *[pa.binary()] * 5], rows)
 
     return send
 
 
 def _later(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """A bit for each window sent to this bucket: whether another batch has it earlier."""
+    """(batch, starts): the windows sent to this bucket that another batch has earlier."""
+    bucket = key[0].as_py()
+    if bucket <= _OWN:
+        return pa.table({"batch": t["batch"], "bucket": t["bucket"], "bits": t["start"]})
     read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t[c]]
     parts = read("a", "<u8")
     sizes = [len(p) for p in parts]
     a, b, doc, tie = np.concatenate(parts), *(np.concatenate(read(c, k)) for c, k in (("b", "<u8"), ("doc", "<i8"), ("tie", "<i8")))
     batch = np.repeat(t["batch"].to_numpy(), sizes)
     order = np.lexsort((batch, tie, doc, b, a))
-    same = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-    bits = np.zeros(len(a), bool)
-    bits[order[1:]] = same
-    return _answer(bits, sizes, t["batch"], key[0].as_py())
+    later = np.zeros(len(a), bool)
+    later[order[1:]] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+    ends = np.cumsum(sizes)
+    out = [start[later[e - n : e]].tobytes() for start, e, n in zip(read("start", "<u4"), ends, sizes)]
+    return pa.table({"batch": t["batch"], "bucket": pa.array([bucket] * len(out), pa.int64()), "bits": pa.array(out, pa.binary())})
 
 
-def _keep(width: int, n_buckets: int):
+def _keep(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def keep(batches):
         for batch in batches:
             for blob, got in zip(batch.column("blob"), batch.column("known").to_pylist()):
-                later = {x["bucket"]: x["bits"] for x in got or () if x["round"] == ROUNDS}
-                own = _Batch(blob.as_py(), width, _rounds_of([x for x in got or () if x["round"] < ROUNDS], ROUNDS), n_buckets)
-                a, _, first, back = own.windows()
-                repeat = _answered(a, later, n_buckets)[back]
-                repeat |= np.arange(len(own.starts)) != first[back]
-                cover = np.zeros(len(own.doc) + 1, np.int64)
-                np.add.at(cover, own.starts[repeat], 1)
-                np.add.at(cover, own.starts[repeat] + width, -1)
-                stay = cover.cumsum()[:-1] == 0
+                ids, texts = _unpacked(blob.as_py())
+                split = [t.split() for t in texts]
+                first = np.cumsum([0, *map(len, split)])
+                cover = np.zeros(int(first[-1]) + 1, np.int32)
+                for x in got or ():
+                    starts = np.frombuffer(x["bits"], "<u4").astype(np.int64)
+                    cover[starts] += 1  # a start is named once in all answers
+                    cover[starts + width] -= 1
+                gone = cover.cumsum()[:-1] > 0
                 out = []
-                for i, words, lo, hi in zip(own.ids, own.words, own.first, own.first[1:]):
-                    mask = stay[lo:hi]
-                    n = int(mask.sum())
-                    if n < len(words):
-                        words = [words[j] for j in np.flatnonzero(mask)]
-                    out.append((i, int(hi - lo), int(hi - lo) - n, b" ".join(words)))
+                for i, words, lo, hi in zip(ids, split, first, first[1:]):
+                    n = int(gone[lo:hi].sum())
+                    if n:
+                        words = [words[j] for j in np.flatnonzero(~gone[lo:hi])]
+                    out.append((i, int(hi - lo), n, b" ".join(words)))
                 yield _rows(schema.names, schema.types, out)
 
     return keep
@@ -369,23 +404,24 @@ def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     packs = settle(text.mapInArrow(_pack, "batch long, n_bytes long, blob binary"), "packs")
     n_bytes = packs.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = max(LEAST_BUCKETS, -(-n_bytes // BUCKET))
-    answer, blobs, answers = "batch long, bucket long, bits binary", packs.select("batch", "blob"), None
+    blobs = packs.select("batch", "blob")
 
-    def known() -> DataFrame:
+    def known(answers: DataFrame | None) -> DataFrame:
         if answers is None:
             return blobs
         told = answers.groupBy("batch").agg(F.collect_list(F.struct("round", "bucket", "bits")).alias("known"))
         return blobs.join(told, "batch", "left")
 
-    for r in range(ROUNDS + 1):
-        if r < ROUNDS:
-            sent = known().mapInArrow(_send_symbols(width, n_buckets, r), "bucket long, batch long, names binary")
-            told = sent.groupBy("bucket").applyInArrow(_shared, answer)
-        else:
-            sent = known().mapInArrow(_send_windows(width, n_buckets), "bucket long, batch long, a binary, b binary, doc binary, tie binary")
-            told = sent.groupBy("bucket").applyInArrow(_later, answer)
-        told = settle(told, f"round-{r}").withColumn("round", F.lit(r))
-        answers = told if answers is None else answers.unionByName(told)
+    def told(sent: DataFrame, answer, r: int) -> DataFrame:
+        out = settle(sent.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, bits binary"), f"round-{r}").withColumn("round", F.lit(r))
         _free(spark)
-    rows = known().mapInArrow(_keep(width, n_buckets), "doc_id long, n_words long, n_removed long, kept binary")
+        return out
+
+    answers = None
+    for r in range(len(COUNTED)):
+        sent = known(answers).mapInArrow(_send_symbols(width, n_buckets, r), "bucket long, batch long, names binary")
+        more = told(sent, _shared, r)
+        answers = more if answers is None else answers.unionByName(more)
+    sent = known(answers).mapInArrow(_send_windows(width, n_buckets), "bucket long, batch long, a binary, b binary, doc binary, tie binary, start binary")
+    rows = known(told(sent, _later, len(COUNTED))).mapInArrow(_keep(width), "doc_id long, n_words long, n_removed long, kept binary")
     return rows.withColumn("kept", F.col("kept").cast("string"))
