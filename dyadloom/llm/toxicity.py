@@ -1,11 +1,12 @@
 """Toxicity by compression distance with zstandard dictionaries.
 
-Two dictionaries are trained, one on toxic and one on ordinary text: byte strings
-that a class has in many of its texts and the other hardly ever, with what both have
-in common before them. A text is cut into windows, and each is compressed with both;
-the bytes that the toxic dictionary saves over the other are the evidence. Largest and
-summed savings go through a logistic curve whose threshold is calibrated on texts that
-the dictionaries in use there have not seen.
+A dictionary each is trained on toxic and on ordinary text. Both begin with what the
+zstandard trainer finds in texts of both classes, so that common prose costs the same
+with either. Then come the strings that a class has far more often than the other, by
+a likelihood ratio over occurrences, chained where they overlap. A text is cut into
+windows, and each is compressed with both; the bytes that one dictionary saves over the
+other are the evidence. Largest, summed and mean savings go through a logistic curve
+whose threshold is calibrated on texts that the dictionaries in use there have not seen.
 """
 
 from __future__ import annotations
@@ -22,19 +23,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the labelled sample that is learned from: texts of each class, bytes of one.
-TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 1500, 4500, 32 << 10
+TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 1500, 4500, 64 << 10
+#: Bytes of the strings compared; a shorter match saves nothing.
 GRAM = 5
 WINDOW, OVERLAP = 256, 16
-#: A string is telling from this likelihood ratio (G²), ratio of rates and share of its class on.
-TELLING, RATIO, COVER = 25.0, 50.0, 0.03
-COMMON = 2 << 10
+#: A string is telling from this likelihood ratio (G²), ratio of rates, and number of texts on.
+TELLING, RATIO, TEXTS = 20.0, {"toxic": 6.0, "ordinary": 1.5}, 4
+#: Occurrences that one text counts for, bytes of what both have in common, and of a piece of it.
+REPEATS, COMMON, PIECE = 4, 256, 512
 CUT = 0.7
+#: Share of unseen ordinary texts that the threshold may flag.
+FALSE_ALARMS = 0.005
 _BIG = np.uint64(8)
 
 
+def _plain(text: bytes) -> bytes:
+    return b" " + b" ".join(text.lower().split()) + b" "
+
+
 def _grams(data: bytes) -> np.ndarray:
-    """Distinct strings of ``GRAM`` bytes within words, a space before or after included."""
-    raw = np.frombuffer(b" " + b" ".join(data.split()) + b" ", np.uint8)
+    """Strings of ``GRAM`` bytes within words, a space before or after included."""
+    raw = np.frombuffer(_plain(data), np.uint8)
     n = len(raw) - GRAM + 1
     if n < 1:
         return np.zeros(0, np.uint64)
@@ -44,7 +53,7 @@ def _grams(data: bytes) -> np.ndarray:
         out = out << _BIG | part.astype(np.uint64)
         if 0 < k < GRAM - 1:
             space |= part == 0x20
-    return np.unique(out[~space])
+    return out[~space]
 
 
 def _kin(data: bytes) -> list[int]:
@@ -53,17 +62,20 @@ def _kin(data: bytes) -> list[int]:
     return sorted({zlib.crc32(b" ".join(x)) for x in zip(w, w[1:], w[2:])} or {zlib.crc32(b" ".join(w))})[:2]
 
 
-def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """In how many texts each string occurs, merged a few hundred texts at a time."""
-    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def _counted(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings, how often they occur (a text counts a few times at most), and in how many
+    texts, merged a few hundred texts at a time."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     for k in range(0, len(texts), 400):
-        more, n = np.unique(np.concatenate([_grams(t) for t in texts[k : k + 400]]), return_counts=True)
+        found = [np.unique(_grams(t), return_counts=True) for t in texts[k : k + 400]]
+        more, back = np.unique(np.concatenate([u for u, _ in found]), return_inverse=True)
+        times = np.minimum(np.concatenate([c for _, c in found]), REPEATS)
         both = np.union1d(keys, more)
-        total = np.zeros(len(both), np.int64)
+        total = np.zeros((len(both), 2), np.int64)
         total[np.searchsorted(both, keys)] = counts
-        total[np.searchsorted(both, more)] += n
+        total[np.searchsorted(both, more)] += np.column_stack([np.bincount(back, times, len(more)), np.bincount(back, minlength=len(more))]).astype(np.int64)
         keys, counts = both, total
-    return keys, counts
+    return keys, counts[:, 0], counts[:, 1]
 
 
 def _chains(grams: list[bytes]) -> list[bytes]:
@@ -85,29 +97,39 @@ def _chains(grams: list[bytes]) -> list[bytes]:
     return out
 
 
+def common(texts: list[bytes]) -> bytes:
+    """What the zstandard trainer finds in texts of both classes; nothing if too few."""
+    plain = [_plain(t) for t in texts]
+    pieces = [t[k : k + PIECE] for t in plain for k in range(0, min(len(t), 8 * PIECE), PIECE)]
+    try:
+        return zstandard.train_dictionary(COMMON, pieces).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 def dictionaries(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
     """Contents for the two classes, equally long, the most telling strings last."""
-    (ka, ca), (kb, cb) = _counted(toxic), _counted(ordinary)
-    keys, n, m = np.union1d(ka, kb), len(toxic), len(ordinary)
-    a, b = np.zeros(len(keys)), np.zeros(len(keys))
-    a[np.searchsorted(keys, ka)], b[np.searchsorted(keys, kb)] = ca, cb
-
-    def part(x, whole, own):
+    (ka, ca, ta), (kb, cb, tb) = _counted(toxic), _counted(ordinary)
+    keys = np.union1d(ka, kb)
+    a, b, own_a, own_b = (np.zeros(len(keys)) for _ in range(4))
+    at_a, at_b = np.searchsorted(keys, ka), np.searchsorted(keys, kb)
+    a[at_a], own_a[at_a], b[at_b], own_b[at_b] = ca, ta, cb, tb
+    n, m = max(1, ca.sum()), max(1, cb.sum())
+
+    def part(x, whole, share):
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(x > 0, x * np.log(x / (own * whole / (n + m))), 0)
+            return np.where(x > 0, x * np.log(x / (whole * share / (n + m))), 0)
 
-    g2 = 2 * (part(a, a + b, n) + part(b, a + b, m) + part(n - a, n + m - a - b, n) + part(m - b, n + m - a - b, m))
-    rates = (a + 0.5) / (n + 1), (b + 0.5) / (m + 1)
-    text = lambda at: [int(keys[k]).to_bytes(8, "big")[-GRAM:] for k in at]
+    g2 = 2 * (part(a, a + b, n) + part(b, a + b, m))
+    rates = (a + 0.5) / n, (b + 0.5) / m
 
-    def telling(mine, other, own):
-        found = np.flatnonzero((g2 >= TELLING) & (mine >= RATIO * other) & (mine >= COVER) & (own >= 3))
-        return b"\0".join(reversed(_chains(text(found[np.argsort(-g2[found], kind="stable")]))))
+    def telling(mine, other, own, ratio):
+        found = np.flatnonzero((g2 >= TELLING) & (mine >= ratio * other) & (own >= TEXTS))
+        found = found[np.argsort(-g2[found], kind="stable")]
+        return b"\0".join(reversed(_chains([int(keys[k]).to_bytes(8, "big")[-GRAM:] for k in found])))
 
-    plain = np.flatnonzero((rates[0] < RATIO * rates[1]) & (rates[1] < RATIO * rates[0]))
-    plain = plain[np.argsort(-(a + b)[plain], kind="stable")][: COMMON // GRAM]
-    shared = b"\0".join(reversed(_chains(text(plain))))
-    one, two = telling(*rates, a), telling(*rates[::-1], b)
+    shared = common(toxic + ordinary)
+    one, two = telling(*rates, own_a, RATIO["toxic"]), telling(*rates[::-1], own_b, RATIO["ordinary"])
     size = max(len(one), len(two), 16)
     return shared + one.rjust(size + 1, b"\0"), shared + two.rjust(size + 1, b"\0")
 
@@ -116,27 +138,33 @@ class Comparer:
     """Savings of the toxic dictionary over the ordinary one, window by window."""
 
     def __init__(self, toxic: bytes, ordinary: bytes):
+        # literals stay as they are, so that a short match is worth what it covers
         how = zstandard.ZstdCompressionParameters(
-            window_log=16, hash_log=14, chain_log=14, search_log=3, min_match=GRAM, strategy=zstandard.STRATEGY_LAZY, write_content_size=False
+            window_log=17, hash_log=15, chain_log=15, search_log=4, min_match=GRAM, target_length=1, strategy=zstandard.STRATEGY_FAST, write_content_size=False
         )
         raw = zstandard.DICT_TYPE_RAWCONTENT
         made = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=raw), compression_params=how) for d in (toxic, ordinary)]
         self.toxic, self.ordinary = (c.compress for c in made)
 
-    def evidence(self, text: bytes) -> tuple[float, float]:
-        """(largest saving of a window, all savings) of a whole text."""
-        text = text.lower()
-        toxic, ordinary, most, total = self.toxic, self.ordinary, 0, 0
-        for k in range(0, max(1, len(text)), WINDOW):
+    def evidence(self, text: bytes) -> tuple[float, float, float, float]:
+        """(largest saving of a window, sum of savings, their mean over windows, sum of what
+        the ordinary dictionary saves) of a whole text."""
+        text = _plain(text)
+        toxic, ordinary, most, total, against, n = self.toxic, self.ordinary, 0, 0, 0, 0
+        for k in range(0, len(text), WINDOW):
             part = text[k : k + WINDOW + OVERLAP]
             saved = len(ordinary(part)) - len(toxic(part))
+            n += 1
             if saved > 1:
                 most, total = max(most, saved), total + saved
-        return float(most), float(total)
+            elif saved < -1:
+                against -= saved
+        return float(most), float(total), total / n, float(against)
 
 
 def _features(found: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(found)), np.minimum(found[:, 0], 12), np.log1p(found[:, 1])])
+    most, total, mean, against = found.T
+    return np.column_stack([np.ones(len(found)), np.minimum(most, 12) / 4, np.log1p(total), mean, -np.log1p(against)])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -161,15 +189,16 @@ class Model:
 
 
 def _threshold(z: np.ndarray, y: np.ndarray, none: float) -> float:
-    """The middle of the gap at which F1 is largest, always above ``none``, where a text
-    without evidence stands."""
+    """The middle of the gap at which F1 is largest among those that flag few enough of
+    the ordinary texts, always above ``none``, where a text without evidence stands."""
     order = np.argsort(-z, kind="stable")
     hit, z = np.cumsum(y[order]), z[order]
+    wrong = np.arange(1, len(y) + 1) - hit
     f1 = 2 * hit / (np.arange(1, len(y) + 1) + y.sum())
     ends = np.flatnonzero(np.append(z[1:] != z[:-1], True))
-    ends = ends[z[ends] > none + 1e-9]
+    ends = ends[(z[ends] > none + 1e-9) & (wrong[ends] <= FALSE_ALARMS * (len(y) - y.sum()))]
     if not len(ends):
-        return none + 1
+        return max(none + 1, float(z[0]) if len(z) else none)
     best = ends[int(np.argmax(f1[ends]))]
     return float((z[best] + max(none, z[best + 1] if best + 1 < len(z) else none)) / 2)
 
@@ -189,7 +218,7 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Model:
         kept.append(own)
     toxic, ordinary = kept
     if len(toxic) < 2 or len(ordinary) < 2:
-        return Model(b"", b"", (-30.0 if not toxic else 30.0 if not ordinary else -2.0, 0.0, 0.0))
+        return Model(b"", b"", (-30.0 if not toxic else 30.0 if not ordinary else -2.0, 0.0, 0.0, 0.0, 0.0))
     found, y = [], []
     for half in (0, 1):  # each half judged by dictionaries of the other
         learn = Comparer(*dictionaries(toxic[half::2], ordinary[half::2]))
@@ -220,14 +249,16 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], list[bytes]
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, predicted, evidence) for every row, of the whole text alone.
 
-    Null texts count as empty; without evidence a text has the lowest score. Rows that
-    repeat get a row each; other columns of ``docs`` are not read."""
+    Null texts count as empty; an empty text, or one without evidence, has the lowest
+    score. A text of any length goes through window by window. Rows that repeat, or have
+    a null doc_id, get a row each; an empty table has none; other columns of ``docs`` are
+    not read."""
 
     def run(batches):
         own = Comparer(model.toxic, model.ordinary) if model.toxic else None
         for batch in batches:
             texts = pc.cast(batch.column(1), pa.binary())
-            found = np.array([own.evidence(t.as_py()) if own else (0.0, 0.0) for t in texts]).reshape(-1, 2)
+            found = np.array([own.evidence(t.as_py()) if own else (0.0,) * 4 for t in texts]).reshape(-1, 4)
             s = model.scores(found)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= CUT).astype(np.int32)), pa.array(found[:, 1])], ["doc_id", "score", "predicted", "evidence"])
 
@@ -236,7 +267,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose own text is not predicted toxic, columns as they are."""
+    """The rows of ``docs`` whose own text is not predicted toxic, columns as they are,
+    whatever their names; null and empty texts stay."""
     schema = docs.schema
     place = [f.name for f in schema].index("text")
 
@@ -244,7 +276,7 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
         own = Comparer(model.toxic, model.ordinary) if model.toxic else None
         for batch in batches:
             texts = pc.cast(batch.column(place), pa.binary())
-            found = np.array([own.evidence(t.as_py() or b"") if own else (0.0, 0.0) for t in texts]).reshape(-1, 2)
+            found = np.array([own.evidence(t.as_py() or b"") if own else (0.0,) * 4 for t in texts]).reshape(-1, 4)
             yield batch.filter(pa.array(model.scores(found) < CUT))
 
     return docs.mapInArrow(run, schema)
