@@ -201,7 +201,9 @@ def _round_trip(path: str, decode: bool):
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = pc.cast(part.column(1), pa.binary()).to_pylist()
-                ids = [own.encode(t, at) for t, at in zip(texts, cuts(texts))]
+                ids: list[bytes] = []
+                for k, (t, at) in enumerate(zip(texts, cuts(texts))):  # copies in a row, as a mix leaves them, are encoded once
+                    ids.append(ids[-1] if k and t == texts[k - 1] else own.encode(t, at))
                 offsets = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
                 cols, names = [part.column(0), lists], ["doc_id", "ids"]
@@ -218,8 +220,9 @@ def _input(docs: DataFrame) -> DataFrame:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) for every row. Null texts count as empty and give no ids; rows
-    that repeat are encoded each; other columns of ``docs`` are not read."""
+    """(doc_id, ids) for every row, of the whole text however long. Null texts count as
+    empty and give no ids; rows that repeat, or have a null doc_id, get a row each; an
+    empty table has none; other columns of ``docs`` are not read."""
     return _input(docs).mapInArrow(_round_trip(path, False), "doc_id long, ids array<int>")
 
 

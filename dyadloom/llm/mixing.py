@@ -18,7 +18,8 @@ from .common import n_words, settle
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
-BINS = 1024
+#: Least bins of keys, and rows for each bin of a source that has all rows.
+BINS, BIN_ROWS = 1024, 1 << 16
 #: Quality weights: of label 1, of no label, of label 0. The least is 1.
 GOOD, UNKNOWN, POOR = 2.0, 1.5, 1.0
 #: Rows up to which the table of sources is broadcast (some 10 MB); beyond, it is joined.
@@ -54,23 +55,25 @@ def qualities(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.lit(POOR) + (GOOD - POOR) * F.least(F.greatest(mean, F.lit(0.0)), F.lit(1.0))).alias("weight"))
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", bins: int = BINS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for every row.
+def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", bins: int | None = None) -> DataFrame:
+    """(doc_id, source, print, size, source_size, target, copies, taken) for every row,
+    ``print`` being a hash of its text.
 
     ``weights``: (doc_id, weight >= 1), one row a document; others weigh ``UNKNOWN``.
     Whole documents are taken; of the last one that a target reaches into, whichever
     lands nearer to it. Null texts have size 0, a null source is a source of its own,
     and rows that repeat a doc_id each stand for themselves. An empty table gives none.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("print"))
     if weights is not None:
         rows = rows.join(weights.withColumnRenamed("doc_id", "id"), F.col("doc_id") == F.col("id"), "left").drop("id")
     else:
         rows = rows.withColumn("weight", F.lit(None).cast("double"))
     bits = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double")
     key = -F.ln((bits + 0.5) / float(1 << 52)) / F.coalesce("weight", F.lit(UNKNOWN))
-    rows = rows.select("doc_id", "source", "size", key.alias("key"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("part"))
-    rows = settle(rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins)), "keys")
+    rows = settle(rows.select("doc_id", "source", "print", "size", key.alias("key"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("part")), "keys")
+    bins = bins or max(BINS, rows.count() // BIN_ROWS)
+    rows = rows.withColumn("bin", F.floor((1 - F.exp(-F.col("key"))) * bins))
 
     sums = rows.groupBy("part", "bin").agg(F.first("source").alias("source"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
     aim = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")))
@@ -80,17 +83,24 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: str = "mix", bi
 
     earlier = Window.partitionBy("part").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("part", "bin", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset")).join(aim, "part")
-    ahead = Window.partitionBy("part", "bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("part", "bin").orderBy("key", "doc_id", "size", "print").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("size").over(ahead), F.lit(0))).join(offsets, ["part", "bin"])
     chosen = F.col("offset") + F.col("inner") + F.col("size") / 2 < F.col("rest")
     copies = (F.col("epochs") + chosen.cast("int")).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return placed.select("doc_id", "source", "print", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, with its columns as they
-    are. Rows with equal doc_id and source are taken alike (the larger count)."""
-    counts = mix(docs, weights).groupBy("doc_id", "source").agg(F.max("copies").alias("copies")).select(F.struct("doc_id", "source").alias("taken"), "copies")
-    own = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source")).alias("own"))
-    kept = own.join(counts.filter("copies > 0"), F.col("own.doc_id").eqNullSafe(F.col("taken.doc_id")) & F.col("own.source").eqNullSafe(F.col("taken.source")))
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    """The rows of ``docs``, each as often as ``mix`` takes it, with its columns as they
+    are, whatever their names. Rows that repeat an id are told apart by their texts; of
+    equal rows the first ones get the odd copies. An empty table gives none."""
+    counts = mix(docs, weights).groupBy("doc_id", "source", "print").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.struct("doc_id", "source", "print").alias("taken"), "copies", "n").filter("copies > 0")
+    own = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("print")).alias("own"))
+    same = [F.col(f"own.{c}").eqNullSafe(F.col(f"taken.{c}")) for c in ("doc_id", "source", "print")]
+    kept = own.join(counts, same)
+    single = kept.filter("n = 1").select("row", "copies")
+    equal = kept.filter("n > 1").withColumn("nth", F.row_number().over(Window.partitionBy("own").orderBy(F.xxhash64(F.to_json("row")))))
+    share = F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.col("copies") % F.col("n")).cast("long")
+    every = single.unionAll(equal.select("row", share.cast("long").alias("copies"))).filter("copies > 0")
+    return every.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

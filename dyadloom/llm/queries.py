@@ -36,13 +36,13 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_digests(table(spark, sf_dir, "documents"))
+    return _digests(bpe.encode_and_decode(table(spark, sf_dir, "documents"), bpe.public_vocabulary()))
 
 
-def _token_digests(docs: DataFrame) -> DataFrame:
-    done = bpe.encode_and_decode(docs, bpe.public_vocabulary())
+def _digests(done: DataFrame, *more: str) -> DataFrame:
     return done.select(
         "doc_id",
+        *more,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
@@ -84,15 +84,18 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, its text with surrogates and its length made anew."""
     return pii.replace(docs)[0].select("row.*")
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as often as the mix takes it: some not at all, most once or twice."""
     return mixing.mixed(docs, mixing.qualities(table(spark, sf_dir, "labels")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _token_digests(docs)
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) for every row: the training data."""
+    return _digests(bpe.encode_and_decode(docs, bpe.public_vocabulary()), "ids")
 
 
 def queries() -> dict:
@@ -107,11 +110,12 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 OP3_SQL = f"""
 WITH d AS (
   SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS n_bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+         -- the first 36 bits; those of a row's place are not looked at where rows differ
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 9))::BIGINT << 24 AS hash
   FROM documents),
 s AS (
   SELECT k.depth, d.hash >> (60 - k.depth)::BIGINT AS prefix, sum(n_bytes)::BIGINT AS shard_bytes
-  FROM d, (SELECT unnest(range(0, 31)) AS depth) k GROUP BY ALL),
+  FROM d, (SELECT unnest(range(0, 37)) AS depth) k GROUP BY ALL),
 p AS (
   SELECT d.doc_id, d.n_bytes, d.hash, s.depth, s.shard_bytes,
          row_number() OVER (PARTITION BY d.hash, d.doc_id ORDER BY s.depth) AS rn

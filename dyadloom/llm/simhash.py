@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, settle
@@ -182,7 +182,8 @@ def _group_forest(order: list[int], depth: int, budget: int):
 
 def _components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (u, v), by rounds of hooking to the
-    smallest neighbour and contracting; the driver sees one count a round."""
+    smallest neighbour and contracting; the driver sees one flag a round. Nodes are
+    hashes, so a chain's order is a random one and rounds are logarithmic in its length."""
     label = None
     while True:
         edges = settle(edges, "links")
@@ -237,21 +238,3 @@ def near_duplicates(docs: DataFrame, budget: int = 2) -> DataFrame:
     return marks.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_key"
     )
-
-
-def representatives(docs: DataFrame, budget: int = 2) -> DataFrame:
-    """One row of ``docs`` for each group of near copies, columns as they are: one with
-    the group's smallest doc_id, of rows that share it the one with the least text."""
-    classes = near_duplicates(docs, budget)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    best = classes.filter(first).select(F.col("doc_id").alias("best_id"), F.col("fingerprint").alias("best_print"), "group_key").distinct()
-    own = docs.select(F.struct("*").alias("row"))
-    found = own.join(best, F.col("row.doc_id").cast("long").eqNullSafe(F.col("best_id")))
-    # rows that share a doc_id are told apart by their fingerprints, then by their texts
-    some = found.groupBy("best_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("best_id", "many_id")
-    marked = found.join(some, F.col("best_id").eqNullSafe(F.col("many_id")), "left")
-    single = marked.filter("n is null").select("row.*")
-    many = marked.filter("n is not null")
-    same = F.udf(lambda t: f"{fingerprint(t, 3):016x}", "string")(F.col("row.text").cast("string")) == F.col("best_print")
-    least = Window.partitionBy("group_key").orderBy(F.col("row.text"), *(F.hash(F.to_json(F.struct("row"))),))
-    return single.unionAll(many.filter(same).withColumn("nth", F.row_number().over(least)).filter("nth = 1").select("row.*"))

@@ -3,14 +3,18 @@
 A record is stored as rows (archive, record, chunk, data, running): its bytes in
 slices of bounded size, each with the SHA-1 of all record bytes up to its end. The
 concatenation in order of a record's ``data`` is the record as WARC/1.1 has it, and
-that of an archive's records is a WARC file. Reader and writer hold a slice at a time.
+that of an archive's records is a WARC file. Pages are cut into slices before they reach
+the writer, which carries the digest from slice to slice; the reader does likewise. Which
+records are revisits is found from digests alone, without payloads.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-CHUNK = 256 << 10
+#: Bytes of payload in a chunk: a batch of them stays far below a task's memory.
+CHUNK = 16 << 10
 _END = b"\r\n\r\n"
 _TABLE = pa.schema([("archive", pa.int64()), ("record", pa.int64()), ("chunk", pa.int64()), ("data", pa.binary()), ("running", pa.binary())])
 _FOUND = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
@@ -29,52 +34,52 @@ _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _urn(page_id: int | None, digest: str, place: int | None = None) -> str:
+    """Of a page and its payload; with the record's place where several would share it."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{'' if place is None else f':{place}'}>"
 
 
-def header(page_id, url, size: int, digest: str, refers_to) -> bytes:
+def header(page_id, url, size: int, digest: str, refers_to, place: int | None = None) -> bytes:
     """All of a record that precedes its payload."""
     http = _HTTP.format(size).encode()
     kind = "response" if refers_to is None else "revisit"
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {_DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_urn(page_id, digest, place)}", f"WARC-Date: {_DATE}"]
     if url:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
-        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}"]
+        lines += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {_urn(refers_to, digest)}"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (size if refers_to is None else 0)}"]
     return "\r\n".join(lines).encode() + _END + http
 
 
-def _write(chunk: int):
-    def run(batches):
-        archive = TaskContext.get().partitionId()
-        record = archive << 40
-        for batch in batches:
-            ids, urls, sha, refers = (batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "refers_to"))
-            payloads = pc.cast(batch.column("payload"), pa.binary())
-            rows: list[tuple] = []
-            held = 0
-            for i, url, hexed, to, payload in zip(ids, urls, sha, refers, payloads):
-                view = memoryview(payload.as_buffer())
-                head = header(i, url, len(view), base64.b32encode(bytes.fromhex(hexed)).decode(), to)
-                if to is not None:
-                    view = view[:0]
-                running, n = hashlib.sha1(), max(1, -(-len(view) // chunk))
-                for k in range(n):
-                    part = view[k * chunk : (k + 1) * chunk]
-                    data = b"".join((head if not k else b"", part, _END if k == n - 1 else b""))
-                    running.update(data)
-                    rows.append((archive, record, k, data, running.digest()))
-                    held += len(data)
-                    if held >= 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TABLE)], schema=_TABLE)
-                        rows, held = [], 0
-                record += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TABLE)], schema=_TABLE)
-
-    return run
+def _write(batches):
+    """Slices (page_id, url, sha1, size, refers_to, shared, chunk, last, part), those of a
+    record in a row, as rows of the chunk table."""
+    archive = TaskContext.get().partitionId()
+    record, running = archive << 40, hashlib.sha1()
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _TABLE)], schema=_TABLE)
+
+    for batch in batches:
+        fields = (batch.column(c).to_pylist() for c in ("page_id", "url", "sha1", "size", "refers_to", "shared", "chunk", "last"))
+        rows: list[tuple] = []
+        held = 0
+        for i, url, hexed, size, to, shared, k, last, part in zip(*fields, batch.column("part")):
+            head = b""
+            if not k:
+                running = hashlib.sha1()
+                head = header(i, url, size, base64.b32encode(bytes.fromhex(hexed)).decode(), to, record if shared else None)
+            data = b"".join((head, part.as_buffer(), _END if last else b""))
+            running.update(data)
+            rows.append((archive, record, k, data, running.digest()))
+            held += len(data)
+            if held >= 8 << 20:
+                yield table(rows)
+                rows, held = [], 0
+            record += last
+        if rows:
+            yield table(rows)
 
 
 def archive_pages(pages: DataFrame, least: int = 0, chunk: int = CHUNK) -> DataFrame:
@@ -83,16 +88,25 @@ def archive_pages(pages: DataFrame, least: int = 0, chunk: int = CHUNK) -> DataF
     Of rows with equal html of ``least`` bytes or more, the smallest page_id has the
     response (each row that has it, if rows repeat) and the others revisit it; smaller
     ones are all responses. Null html is empty; a null page_id is never referred to.
-    Other columns are not read.
+    Records that share page and payload have their place in their ids. An empty table
+    gives none; other columns are not read.
     """
-    payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("sha1"), F.octet_length(payload).alias("size"))
-    # only digests that occur twice are joined back: most rows have no partner
-    first = rows.groupBy("sha1", "size").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) & (F.col("size") >= least))
-    rows = rows.join(first.select("sha1", "size", "first_id"), ["sha1", "size"], "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    rows = rows.select("page_id", "url", "payload", "sha1", refers.alias("refers_to"))
-    return rows.mapInArrow(_write(chunk), "archive long, record long, chunk long, data binary, running binary")
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("size"))
+    # page and digest decide; of most rows nothing is to be told, and they are not joined to anything large
+    pairs = settle(rows.groupBy("page_id", "sha1", "size").agg(F.count(F.lit(1)).alias("n")), "digests")
+    first = pairs.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.sum("n").alias("copies")).filter("copies > 1")
+    told = pairs.join(first, "sha1", "left")
+    refers = F.when((F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
+    told = told.select(F.col("page_id").alias("its_id"), F.col("sha1").alias("its_sha1"), refers.alias("refers_to"), ((F.col("n") > 1) | F.col("page_id").isNull()).alias("shared"))
+    told = settle(told.filter("refers_to is not null or shared"), "revisits")
+    rows = rows.join(told, F.col("page_id").eqNullSafe(F.col("its_id")) & (F.col("sha1") == F.col("its_sha1")), "left")
+    kept = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
+    n = F.greatest(F.lit(1), F.ceil(F.octet_length(kept) / F.lit(chunk))).cast("int")
+    slices = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(kept, k * chunk + 1, F.lit(chunk)))
+    cut = rows.select("page_id", "url", "sha1", "size", "refers_to", F.coalesce("shared", F.lit(False)).alias("shared"), n.alias("n"), F.posexplode(slices).alias("chunk", "part"))
+    cut = cut.withColumn("last", F.col("chunk") == F.col("n") - 1)
+    return cut.mapInArrow(_write, "archive long, record long, chunk long, data binary, running binary")
 
 
 class Reader:
@@ -126,7 +140,7 @@ class Reader:
     def close(self) -> tuple:
         if self.fields is None or self.left or self.tail != _END:
             raise ValueError("a WARC record ends early")
-        named = lambda x: int(x[10:-1]) if x and x != _urn(None) else None
+        named = lambda x: int(x.split(":")[2]) if x and x.split(":")[2] else None
         kind, digest = self.fields["WARC-Type"], self.fields["WARC-Payload-Digest"].removeprefix("sha1:")
         if kind == "response" and base64.b32encode(self.payload.digest()).decode() != digest:
             raise ValueError("a WARC payload does not match its digest")
@@ -161,23 +175,29 @@ def round_trip(pages: DataFrame, least: int = 0, chunk: int = CHUNK) -> DataFram
 
 
 def export(chunks: DataFrame, folder: str) -> DataFrame:
-    """Write one .warc file an archive into a folder that all executors mount; returns
-    (path, n_bytes) of each."""
+    """Write one .warc file an archive into a folder that all executors mount, which must
+    be there: a task that does not see it fails. Returns (path, n_bytes) of each. A file
+    is written under another name and then renamed, so a task that runs again leaves one."""
 
     def run(batches):
         name = out = None
         done = []
+
+        def close():
+            if out:
+                n = out.tell()
+                out.close()
+                path = f"{folder}/{name:08d}.warc"
+                os.replace(out.name, path)
+                done.append((path, n))
+
         for batch in batches:
             for a, data in zip(batch.column("archive").to_pylist(), batch.column("data")):
                 if a != name:
-                    if out:
-                        done.append((out.name, out.tell()))
-                        out.close()
-                    name, out = a, open(f"{folder}/{a:08d}.warc", "wb")  # noqa: SIM115
+                    close()
+                    name, out = a, open(f"{folder}/.{a:08d}.{uuid.uuid4().hex}", "wb")  # noqa: SIM115
                 out.write(data.as_buffer())
-        if out:
-            done.append((out.name, out.tell()))
-            out.close()
+        close()
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["path", "n_bytes"])
 
     ordered = chunks.repartition("archive").sortWithinPartitions("archive", "record", "chunk")
