@@ -1,9 +1,13 @@
 """Nearest vectors by cosine (vantage-point trees) and by inner product (ball trees).
 
-Vectors are dealt to shards by a hash of their id. A task receives a shard as a
-stream: first its vectors, of which it builds a tree, then every query of the same
-dimension, a batch at a time, so that memory holds one shard and one batch. Each
-shard reports its best k for each query and those meet in a top-k by query.
+Every vector goes to the nearest of a few coarse pivots, chosen from a bounded sample,
+and a pivot with too many vectors is dealt to several shards by a hash of their ids. A
+query first searches the shards of its own pivot. Its k-th score found there goes with
+it: only shards whose vectors could beat it, by their distances from their pivot, are
+visited after, and their trees start from that score. A task receives a shard as a
+stream: first its vectors, of which it builds a tree, then the queries that come to it,
+a batch at a time, so that memory holds one shard and one batch. What the shards find
+meets in a top-k by query.
 
 Trees answer a batch of queries together: at each node the queries that cannot gain
 are left behind, the others go to the more promising child first.
@@ -18,11 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a shard at most, on average; least vectors worth a shard; shards wanted.
+from .common import settle
+
+#: Vectors in a shard at most, on average, and for each pivot; the most pivots, the
+#: sample that they are chosen from, and tasks wanted.
 SHARD = 1 << 16
-SMALL_SHARD = 256
+PER_PIVOT = 512
+PIVOTS = 1024
+SAMPLE = 8192
 SHARDS = 48
 LEAF = 48
+#: How far bounds of distances are stretched by default: recall in the README.
+FACTOR = 2.0
 _QUERIES = 256
 
 
@@ -95,7 +106,7 @@ class CosineShard:
     against the current k-th distance, and so leaves more subtrees out."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, factor: float):
-        self.ids, self.factor = ids, factor
+        self.ids, self.factor, self.scored = ids, factor, 0
         self.x, self.norm = self._scaled(x)
         self.unit = self.x / self.norm[:, None]
         self.root = vantage_tree(self.unit, np.arange(len(ids)))
@@ -113,6 +124,7 @@ class CosineShard:
         def visit(node: Node, at: np.ndarray) -> None:
             if node.rows is not None:
                 r = node.rows
+                self.scored += len(at) * len(r)
                 # the same sum, in the same order, for each pair: equal vectors tie exactly
                 score = (q[at][:, None, :] * self.x[r][None, :, :]).sum(axis=2) / (norm[at][:, None] * self.norm[r][None, :])
                 score[ids[at][:, None] == self.ids[r][None, :]] = -np.inf
@@ -124,8 +136,9 @@ class CosineShard:
             first = bounds[0] > bounds[1]  # right first
             first |= (bounds[0] == bounds[1]) & (np.abs(d - node.left_range[0]) > np.abs(d - node.right_range[1]))
             for child, mine in ((0, ~first), (1, first), (1, ~first), (0, first)):
-                worst = np.sqrt(np.maximum(0, 2 - 2 * np.clip(best.score[at, -1], -1, 1)))
-                worst[best.score[at, -1] == -np.inf] = np.inf
+                bar = np.maximum(best.score[at, -1], floor[at])
+                worst = np.sqrt(np.maximum(0, 2 - 2 * np.clip(bar, -1, 1)))
+                worst[bar == -np.inf] = np.inf
                 go = mine & (bounds[child] * self.factor <= worst + 1e-7)
                 if go.any():
                     visit(children[child], at[go])
@@ -139,7 +152,7 @@ class ProductShard:
     product is below both the k-th score of this shard and the shared one."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
+        self.ids, self.x, self.scored = ids, x, 0
         self.wide = x.astype(np.float64)
         self.top = float(np.abs(self.wide).max(initial=0))
         self.root = ball_tree(self.wide, np.arange(len(ids)))
@@ -160,6 +173,7 @@ class ProductShard:
                 return
             if node.rows is not None:
                 r = node.rows
+                self.scored += len(at) * len(r)
                 score = (wide[at] @ self.wide[r].T).astype(np.int64) if small else q[at] @ self.x[r].T
                 score[ids[at][:, None] == self.ids[r][None, :]] = _LOWEST["i"]
                 best.offer(at, score, self.ids[r])
@@ -177,44 +191,37 @@ class ProductShard:
 # --- distribution -------------------------------------------------------------------
 
 
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def _stream(make, k: int, kind: str):
-    """Over rows ordered by (shard, is_query, vec_id): yields the best k of each query."""
+    """Over rows ordered by (shard, query): yields the best k of each query in its shard."""
     out = pa.float64() if kind == "f" else pa.int64()
 
     def run(batches):
-        shard = tree = last = None
-        ids, parts, n = [], [], 0
-
-        def matrix(column) -> np.ndarray:
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            return flat.reshape(len(column), -1)
-
+        shard = tree = None
+        ids, parts = [], []
         for batch in batches:
             key, query = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             vec_id, floor = batch.column(2).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
             cut = np.flatnonzero((np.diff(key, prepend=key[:1] - 1) != 0) | (np.diff(query, prepend=-1) != 0))
             for lo, hi in zip(cut, [*cut[1:], len(key)]):
                 if key[lo] != shard:
-                    shard, tree, last, ids, parts = key[lo], None, None, [], []
+                    shard, tree, ids, parts = key[lo], None, [], []
                 if not query[lo]:
                     ids.append(vec_id[lo:hi])
-                    parts.append(matrix(batch.column(3).slice(lo, hi - lo)))
+                    parts.append(_matrix(batch.column(3).slice(lo, hi - lo)))
                     continue
-                if tree is None and not ids:  # queries of a dimension in which this shard has no vectors
+                if tree is None and not ids:  # no vectors here
                     continue
                 if tree is None:
-                    every = np.concatenate(ids)
-                    new = np.concatenate([[True], every[1:] != every[:-1]])  # repeated ids: the first
-                    tree, ids, parts = make(every[new], np.concatenate(parts)[new]), [], []
+                    tree, ids, parts = make(np.concatenate(ids), np.concatenate(parts)), [], []
                 for start in range(lo, hi, _QUERIES):
                     stop = min(hi, start + _QUERIES)
-                    q_id, q = vec_id[start:stop], matrix(batch.column(3).slice(start, stop - start))
-                    new = np.concatenate([[last is None or q_id[0] != last], q_id[1:] != q_id[:-1]])
-                    last, q_id, q, bar = q_id[-1], q_id[new], q[new], floor[start:stop][new]
-                    if not len(q_id):
-                        continue
-                    best = tree.search(q_id, q, k, bar)
-                    real = best.score > _LOWEST[kind] if kind == "i" else best.score > -np.inf
+                    q_id, q = vec_id[start:stop], _matrix(batch.column(3).slice(start, stop - start))
+                    best = tree.search(q_id, q, k, floor[start:stop])
+                    real = best.score > (_LOWEST[kind] if kind == "i" else -np.inf)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.repeat(q_id, k)[real.ravel()]), pa.array(best.id[real]), pa.array(best.score[real], out)], ["query_id", "vec_id", "score"]
                     )
@@ -222,22 +229,102 @@ def _stream(make, k: int, kind: str):
     return run
 
 
-def _sharded(valid: DataFrame, every: int, home: bool, bars: DataFrame | None, n_shards: int) -> DataFrame:
-    """Vectors and queries, each query for its home shard only or for all shards."""
-    dim = F.size("vec").cast("long") * (1 << 32)
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(n_shards))
-    none = F.lit(_LOWEST["i"]).cast("long")
-    vectors = valid.select((dim + own).alias("shard"), F.lit(0).alias("query"), "vec_id", "vec", none.alias("floor"))
-    asked = valid.filter(F.col("vec_id") % every == 0)
-    if bars is not None:
-        asked = asked.join(bars.withColumnRenamed("query_id", "asked_id"), F.col("vec_id") == F.col("asked_id"), "left")
-    at = own if home else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_shards - 1).cast("long")))
-    asked = asked.withColumn("at", at).select((dim + F.col("at")).alias("shard"), F.lit(1).alias("query"), "vec_id", "vec", (F.coalesce("floor", none) if bars is not None else none).alias("floor"))
-    return vectors.unionByName(asked).repartition(n_shards, "shard").sortWithinPartitions("shard", "query", "vec_id", "vec")
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2 * x @ p.T))
+
+
+def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` centres of a sample: the first ones far apart, then moved to the middle of
+    what is nearest to them. Fewer, if the sample has fewer different vectors."""
+    picked, far = [0], _distances(x, x[:1])[:, 0]
+    while len(picked) < min(n, len(x)) and far.max() > 1e-9:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, _distances(x, x[picked[-1:]])[:, 0])
+    p = x[picked].copy()
+    for _ in range(4):
+        own = _distances(x, p).argmin(axis=1)
+        for k in np.unique(own):
+            p[k] = x[own == k].mean(axis=0)
+    return p
 
 
-def _shards(n: int) -> int:
-    return max(1, -(-n // SHARD), min(SHARDS, -(-n // SMALL_SHARD)))
+def _placed(valid: DataFrame, n: int, place) -> tuple[DataFrame, dict[int, np.ndarray]]:
+    """(dim, pivot, far, vec_id, vec) of every vector, and the pivots by dimension.
+    ``place`` maps vectors to where distances are taken."""
+    sample = valid.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vec").toArrow().column(0).to_pylist()
+    by_dim: dict[int, list] = {}
+    for v in sample:
+        by_dim.setdefault(len(v), []).append(v)
+    share = n / max(1, len(sample))
+    pivots = {d: choose_pivots(place(np.array(v, np.float64)), int(np.clip(len(v) * share // PER_PIVOT, 1, PIVOTS))) for d, v in by_dim.items()}
+
+    def run(batches):
+        for batch in batches:
+            vecs = batch.column(1)
+            sizes = vecs.value_lengths().to_numpy()
+            pivot, far = np.zeros(len(sizes), np.int64), np.full(len(sizes), np.inf)
+            for d in np.unique(sizes):
+                if int(d) in pivots:
+                    at = np.flatnonzero(sizes == d)
+                    x = _matrix(vecs.take(pa.array(at))).astype(np.float64)
+                    gap = _distances(place(x), pivots[int(d)])
+                    pivot[at] = gap.argmin(axis=1)
+                    far[at] = gap.min(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(sizes.astype(np.int64)), pa.array(pivot), pa.array(far), batch.column(0), vecs], ["dim", "pivot", "far", "vec_id", "vec"])
+
+    kind = dict(valid.dtypes)["vec"]
+    return settle(valid.mapInArrow(run, f"dim long, pivot long, far double, vec_id long, vec {kind}"), "placed"), pivots
+
+
+def _searched(valid: DataFrame, k: int, every: int, kind: str, make, place, reach) -> DataFrame:
+    """The best k of each query. ``reach(q, pivots, far, bar)`` says which pivots' vectors,
+    none farther from it than ``far``, may do as well as ``bar``: [queries, pivots]."""
+    placed, pivots = _placed(valid, valid.count(), place)
+    seen = placed.groupBy("dim", "pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far"))
+    balls = {(r["dim"], r["pivot"]): (-(-r["n"] // SHARD), r["far"]) for r in seen.collect()}  # a row a pivot
+    spark = valid.sparkSession
+    dealt = spark.createDataFrame([(d, p, n) for (d, p), (n, _) in balls.items()], "dim long, pivot long, shards long")
+    tasks = max(SHARDS, sum(n for n, _ in balls.values()) // 16)
+    score = "double" if kind == "f" else "long"
+    none = F.lit(float("-inf")) if kind == "f" else F.lit(_LOWEST["i"]).cast("long")
+    shard = lambda salt: F.col("dim") * (1 << 40) + F.col("pivot") * (1 << 24) + salt
+    vectors = placed.join(dealt, ["dim", "pivot"]).select(shard(F.pmod(F.xxhash64("vec_id"), "shards")).alias("shard"), F.lit(0).alias("query"), "vec_id", "vec", none.alias("floor"))
+    asked = placed.filter(F.col("vec_id") % every == 0)
+    to_all = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1))
+
+    def search(queries: DataFrame) -> DataFrame:
+        rows = vectors.unionByName(queries).repartition(tasks, "shard").sortWithinPartitions("shard", "query", "vec_id")
+        return rows.mapInArrow(_stream(make, k, kind), f"query_id long, vec_id long, score {score}")
+
+    home = asked.join(dealt, ["dim", "pivot"]).withColumn("salt", to_all)
+    near = settle(search(home.select(shard(F.col("salt")).alias("shard"), F.lit(1).alias("query"), "vec_id", "vec", none.alias("floor"))), "home")
+    bars = near.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), False).alias("s")).filter(F.size("s") >= k).select("query_id", F.element_at("s", k).alias("bar"))
+
+    def route(batches):
+        for batch in batches:
+            dim, home, vec_id, vecs = (batch.column(c) for c in range(4))
+            dim, home, bar = dim.to_numpy(), home.to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+            for d in np.unique(dim):
+                if int(d) not in pivots:
+                    continue  # one pivot, searched already
+                at = np.flatnonzero(dim == d)
+                far = np.array([balls.get((int(d), p), (0, -1.0))[1] for p in range(len(pivots[int(d)]))])
+                own = vecs.take(pa.array(at))
+                go = reach(_matrix(own).astype(np.float64), pivots[int(d)], far, bar[at]) & (far >= 0)[None, :]
+                go[np.arange(len(at)), home[at]] = False
+                q, p = np.nonzero(go)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d)), pa.array(p), vec_id.take(pa.array(at[q])), own.take(pa.array(q)), pa.array(bar[at[q]])], ["dim", "pivot", "vec_id", "vec", "floor"])
+
+    kind_of = dict(valid.dtypes)["vec"]
+    barred = asked.join(bars, asked["vec_id"] == bars["query_id"], "left").select("dim", "pivot", "vec_id", "vec", F.coalesce("bar", none).alias("floor"))
+    sent = barred.mapInArrow(route, f"dim long, pivot long, vec_id long, vec {kind_of}, floor {score}").join(dealt, ["dim", "pivot"]).withColumn("salt", to_all)
+    more = search(sent.select(shard(F.col("salt")).alias("shard"), F.lit(1).alias("query"), "vec_id", "vec", "floor"))
+    return _ranked(near.unionByName(more), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -254,33 +341,44 @@ def _valid(vectors: DataFrame, kind: str, some: bool) -> DataFrame:
     return out.select("vec_id", (F.transform("x", lambda v: F.floor(v * 256)) if kind == "i" else F.col("x")).alias("vec"))
 
 
-def nearest_by_cosine(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = 1.05) -> DataFrame:
+def _cosine_reach(factor: float):
+    def reach(q, pivots, far, bar):
+        # a vector lies in its pivot's ball, and no nearer to another pivot than to its own
+        d = _distances(_unit(q), pivots)
+        bound = np.maximum(d - far[None, :], (d - d.min(axis=1, keepdims=True)) / 2)
+        worst = np.where(np.isneginf(bar), np.inf, np.sqrt(np.maximum(0, 2 - 2 * np.clip(bar, -1, 1))))
+        return bound * factor <= worst[:, None] + 1e-7
+
+    return reach
+
+
+def _product_reach(q, pivots, far, bar):
+    length = np.sqrt((q * q).sum(axis=1))[:, None]
+    top = q @ pivots.T + length * far[None, :]
+    return top + 1e-9 * (np.abs(top) + length * (far[None, :] + 1)) + 1 >= bar[:, None]
+
+
+def nearest_by_cosine(vectors: DataFrame, k: int = 5, every: int = 50, factor: float = FACTOR) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by ``every`` the k
     nearest others, score being the cosine of the original vectors.
 
     Left out: null ids, and vectors null, empty, zero or with null or non-finite
-    components. Only vectors of the query's dimension are candidates. Rows that repeat
-    a vec_id count once (the smallest vector). Ties go to the smaller vec_id. A factor
-    of 1 makes the search exact; above, subtrees are left out sooner.
+    components. Only vectors of the query's dimension are candidates. Every row is
+    indexed; rows with the query's vec_id are not its candidates, and rows that repeat a
+    query's vec_id ask together. Ties go to the smaller vec_id. A factor of 1 makes the
+    search exact; above, shards and subtrees are left out sooner. An empty table, or one
+    without queries, gives no rows.
     """
     valid = _valid(vectors, "f", True)
-    rows = _sharded(valid, every, False, None, _shards(valid.count()))
-    found = rows.mapInArrow(_stream(lambda i, x: CosineShard(i, x, factor), k, "f"), "query_id long, vec_id long, score double")
-    return _ranked(found, k)
+    return _searched(valid, k, every, "f", lambda i, x: CosineShard(i, x, factor), _unit, _cosine_reach(factor))
 
 
 def top_by_product(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vec_id divisible by ``every`` the k
     largest inner products of floor(256 x) with the others, exactly.
 
-    Every query first searches the shard its own row lies in; the k-th score found
-    there is a bound that it carries to all shards. Rows are left out, repeated and
-    tied as in ``nearest_by_cosine``, but zero vectors take part. Scores must fit in
-    a long.
+    Rows are left out, repeated and tied as in ``nearest_by_cosine``, but zero vectors
+    take part. Scores must fit in a long. An empty table gives no rows.
     """
     valid = _valid(vectors, "i", False)
-    n_shards = _shards(valid.count())
-    schema, search = "query_id long, vec_id long, score long", _stream(ProductShard, k, "i")
-    near = _sharded(valid, every, True, None, n_shards).mapInArrow(search, schema)
-    bars = near.groupBy("query_id").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k).select("query_id", "floor")
-    return _ranked(_sharded(valid, every, False, bars, n_shards).mapInArrow(search, schema), k)
+    return _searched(valid, k, every, "i", ProductShard, lambda x: x, _product_reach)
