@@ -26,8 +26,13 @@ def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def _surrogate_key(spark: SparkSession) -> str:
+    """The session's own; the named one is public and only for the synthetic tables."""
+    return spark.conf.get("spark.dyadloom.surrogate.key", "for synthetic tables only")
+
+
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = pii.replace(table(spark, sf_dir, "documents"))
+    rows, _ = pii.replace(table(spark, sf_dir, "documents"), _surrogate_key(spark))
     return rows.select("row.doc_id", "row.text", "n_replaced")
 
 
@@ -85,7 +90,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row, its text with surrogates and its length made anew."""
-    return pii.replace(docs)[0].select("row.*")
+    return pii.replace(docs, _surrogate_key(spark))[0].select("row.*")
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
