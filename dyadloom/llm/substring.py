@@ -321,7 +321,7 @@ _OWN = -1
 
 
 def _send_windows(width: int, n_buckets: int):
-    names = ["bucket", "batch", "a", "b", "doc", "tie", "start"]
+    names = ["bucket", "batch", "a", "b", "doc", "tie", "which", "start"]
 
     def send(batches):
         for batch in batches:
@@ -330,9 +330,12 @@ def _send_windows(width: int, n_buckets: int):
                 a, b, first, again = own.windows()
                 ids, ties = np.array([_NONE if i is None else i for i in own.ids], np.int64), np.array([_tie(t) for t in own.texts], np.int64)
                 doc, start = own.doc[first], first.astype("<u4")
-                rows = [(x, k, a[s].tobytes(), b[s].tobytes(), ids[doc[s]].tobytes(), ties[doc[s]].tobytes(), start[s].tobytes()) for x, s in _by_bucket(a, n_buckets)]
-                rows.append((_OWN - k, k, b"", b"", b"", b"", again.astype("<u4").tobytes()))
-                yield _rows(names, [pa.int64(), pa.int64(), *[pa.binary()] * 5], rows)
+                rows = []
+                for x, s in _by_bucket(a, n_buckets):
+                    some, which = np.unique(doc[s], return_inverse=True)  # documents once a message: a batch has 2^16 at most
+                    rows.append((x, k, a[s].tobytes(), b[s].tobytes(), ids[some].tobytes(), ties[some].tobytes(), which.astype("<u2").tobytes(), start[s].tobytes()))
+                rows.append((_OWN - k, k, b"", b"", b"", b"", b"", again.astype("<u4").tobytes()))
+                yield _rows(names, [pa.int64(), pa.int64(), *[pa.binary()] * 6], rows)
 
     return send
 
@@ -345,7 +348,8 @@ def _later(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t[c]]
     parts = read("a", "<u8")
     sizes = [len(p) for p in parts]
-    a, b, doc, tie = np.concatenate(parts), *(np.concatenate(read(c, k)) for c, k in (("b", "<u8"), ("doc", "<i8"), ("tie", "<i8")))
+    a, b, which = np.concatenate(parts), np.concatenate(read("b", "<u8")), read("which", "<u2")
+    doc, tie = (np.concatenate([d[w] for d, w in zip(read(c, "<i8"), which)]) for c in ("doc", "tie"))
     batch = np.repeat(t["batch"].to_numpy(), sizes)
     order = np.lexsort((batch, tie, doc, b, a))
     later = np.zeros(len(a), bool)
@@ -422,6 +426,6 @@ def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
         sent = known(answers).mapInArrow(_send_symbols(width, n_buckets, r), "bucket long, batch long, names binary")
         more = told(sent, _shared, r)
         answers = more if answers is None else answers.unionByName(more)
-    sent = known(answers).mapInArrow(_send_windows(width, n_buckets), "bucket long, batch long, a binary, b binary, doc binary, tie binary, start binary")
+    sent = known(answers).mapInArrow(_send_windows(width, n_buckets), "bucket long, batch long, a binary, b binary, doc binary, tie binary, which binary, start binary")
     rows = known(told(sent, _later, len(COUNTED))).mapInArrow(_keep(width), "doc_id long, n_words long, n_removed long, kept binary")
     return rows.withColumn("kept", F.col("kept").cast("string"))
