@@ -42,6 +42,13 @@ def entropy(x: Column) -> Column:
     return F.sum(F.when(x > 0, -x * F.ln(x)))
 
 
-def mid_rank(by: list[str], value: str) -> Column:
-    """Average rank of ties."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
+def scale_matrix(df: DataFrame, how: str, row: str = "row", column: str = "column", value: str = "value") -> DataFrame:
+    """A whole matrix of (row, column, value): ``none``, z-scores by ``row`` or ``column``,
+    or shares of a row's (``r1``) or column's (``c1``) sum."""
+    if how == "none":
+        return df
+    by = Window.partitionBy({"row": row, "column": column, "r1": row, "c1": column}[how])
+    v = F.col(value)
+    if how in ("r1", "c1"):
+        return df.withColumn(value, v / F.sum(v).over(by))
+    return df.withColumn(value, (v - F.avg(v).over(by)) / F.stddev_samp(v).over(by))

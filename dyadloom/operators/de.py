@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from functools import cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
@@ -20,7 +21,7 @@ def shares(expr: DataFrame, cells: DataFrame, within: tuple[str, ...] = (), log:
     stored = expr.join(cells.select("cell", "grp", *within), "cell").filter("value <> 0")
     one = stored.groupBy(*keys, "grp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.expm1("value") if log else F.col("value")).alias("s"))
     genes = one.groupBy(*keys).agg(F.sum("k").alias("k_all"), F.sum("s").alias("s_all"))
-    grid = _sized(cells, within).join(F.broadcast(genes), list(within) or None).join(one, [*keys, "grp"], "left").na.fill(0, ["k"]).na.fill(0.0, ["s"])
+    grid = _paired(_sized(cells, within), genes, within).join(one, [*keys, "grp"], "left").na.fill(0, ["k"]).na.fill(0.0, ["s"])
     rest, last = F.col("n") - F.col("n1"), (lambda m: F.ln(m + 1)) if log else (lambda m: m)
     return grid.select(
         *keys, "grp", F.round(F.col("k") / F.col("n1"), 3).alias("pct_1"), F.round((F.col("k_all") - F.col("k")) / rest, 3).alias("pct_2"),
@@ -34,8 +35,16 @@ def _sized(cells: DataFrame, within: tuple[str, ...]) -> DataFrame:
     return sizes.withColumn("n", F.sum("n1").over(Window.partitionBy(*within)))
 
 
+def _paired(sizes: DataFrame, genes: DataFrame, within: tuple[str, ...]) -> DataFrame:
+    """Groups with genes, the shape of a result: groups are few, so they travel as one list."""
+    lists = sizes.groupBy(*within).agg(F.collect_list(F.struct("grp", "n1", "n")).alias("groups"))
+    # without ``within`` there is one list, a row for each group of cells
+    both = genes.join(lists, list(within)) if within else genes.join(F.broadcast(lists))
+    return both.withColumn("g", F.explode("groups")).drop("groups").select("*", "g.*").drop("g")
+
+
 def rank_sums(expr: DataFrame, cells: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
-    """(gene, *within, grp, n1, n2, w, z): the rank sum of a group against the rest, with
+    """(gene, *within, grp, n1, n2, w, z, tied): the rank sum of a group against the rest, with
     tie and continuity corrections. Zeros are one block of ties at the low end."""
     keys = ["gene", *within]
     stored = expr.join(cells.select("cell", "grp", *within), "cell").filter("value > 0")
@@ -48,43 +57,62 @@ def rank_sums(expr: DataFrame, cells: DataFrame, within: tuple[str, ...] = ()) -
     cube = lambda c: c * c * c - c
     genes = tied.groupBy(*keys).agg(F.max("zeros").alias("zeros"), F.sum(cube(F.col("t").cast("double"))).alias("ties"))
     sums = stored.join(tied.select(*keys, "value", "rank"), [*keys, "value"]).groupBy(*keys, "grp").agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("k"))
-    grid = sizes.join(F.broadcast(genes), list(within) or None).join(sums, [*keys, "grp"], "left").na.fill(0.0, ["r"]).na.fill(0, ["k"])
+    grid = _paired(sizes, genes, within).join(sums, [*keys, "grp"], "left").na.fill(0.0, ["r"]).na.fill(0, ["k"])
     n1, n2, n = F.col("n1"), F.col("n") - F.col("n1"), F.col("n").cast("double")
     w = F.col("r") + (n1 - F.col("k")) * (F.col("zeros") + 1) / 2 - n1 * (n1 + 1) / 2
     ties = F.col("ties") + cube(F.col("zeros").cast("double"))
     var = n1 * n2 / 12.0 * ((n + 1) - ties / (n * (n - 1)))
     z = w - n1 * n2 / 2.0
-    return grid.select(*keys, "grp", n1.alias("n1"), n2.alias("n2"), w.alias("w"), F.when(var > 0, (z - 0.5 * F.signum(z)) / F.sqrt(var)).alias("z"))
+    return grid.select(*keys, "grp", n1.alias("n1"), n2.alias("n2"), w.alias("w"), F.when(var > 0, (z - 0.5 * F.signum(z)) / F.sqrt(var)).alias("z"), (ties > 0).alias("tied"))
+
+
+#: Sizes below which a rank sum without ties has its exact p-value.
+EXACT = 50
 
 
 @pandas_udf(DoubleType())
 def two_sided(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None)
+    out = np.fromiter(map(math.erfc, np.abs(z.to_numpy(float)) / math.sqrt(2)), float, len(z))
+    return pd.Series(out).where(z.notna().to_numpy())
+
+
+@pandas_udf(DoubleType())
+def _p_of_rank_sum(w: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    return pd.Series([exact_p(round(a), int(b), int(c)) for a, b, c in zip(w, n1, n2)])
+
+
+def p_value() -> Column:
+    """Of (w, n1, n2, z, tied): exact for small samples without ties, else normal."""
+    small = (F.col("n1") < EXACT) & (F.col("n2") < EXACT) & ~F.col("tied")
+    # what the exact count does not serve goes in as the smallest question there is
+    safe = lambda c, other: F.when(small, F.col(c)).otherwise(F.lit(other)).cast("double")
+    return F.when(small, _p_of_rank_sum(safe("w", 0), safe("n1", 1), safe("n2", 1))).otherwise(two_sided(F.col("z")))
 
 
 @cache
-def _arrangements(u: int, m: int, n: int) -> int:
-    """Orders of m and n values in which the first have ``u`` of the m * n wins."""
-    if u < 0 or u > m * n:
-        return 0
-    if not m or not n:
-        return int(u == 0)
-    return _arrangements(u - n, m - 1, n) + _arrangements(u, m, n - 1)
+def _wins(m: int, n: int) -> tuple[int, ...]:
+    """Orders of m and n values by how many of the m * n comparisons the first win: the
+    coefficients of a Gaussian binomial, one factor after the other."""
+    out = [1] + [0] * (m * n)
+    for k in range(1, m + 1):
+        for u in range(m * n, n + k - 1, -1):
+            out[u] -= out[u - n - k]
+        for u in range(k, m * n + 1):
+            out[u] += out[u - k]
+    return tuple(out)
 
 
 def exact_p(w: int, n1: int, n2: int) -> float:
     """Two-sided p-value of a rank sum without ties, by counting arrangements."""
-    total = math.comb(n1 + n2, n1)
-    low = sum(_arrangements(u, n1, n2) for u in range(w + 1)) / total
-    high = sum(_arrangements(u, n1, n2) for u in range(w, n1 * n2 + 1)) / total
-    return min(1.0, 2 * min(low, high))
+    counts, total = _wins(n1, n2), math.comb(n1 + n2, n1)
+    return min(1.0, 2 * min(sum(counts[: w + 1]), sum(counts[w:])) / total)
 
 
 def markers(expr: DataFrame, cells: DataFrame, n_genes: int, thresh_pc: float = 0.0, thresh_fc: float = 0.0, thresh_p: float = 0.05, only_pos: bool = True) -> DataFrame:
     """Marker rows with p-values and Bonferroni's by the number of all genes."""
     found = shares(expr, cells).filter(F.greatest("pct_1", "pct_2") > thresh_pc)
     found = found.filter(F.col("logfc") > thresh_fc if only_pos else F.abs("logfc") > thresh_fc)
-    tested = found.join(rank_sums(expr, cells), ["gene", "grp"]).withColumn("pvalues", two_sided(F.col("z"))).filter(F.col("pvalues") < thresh_p)
+    tested = found.join(rank_sums(expr, cells), ["gene", "grp"]).withColumn("pvalues", p_value()).filter(F.col("pvalues") < thresh_p)
     return tested.withColumn("pvalues_adj", F.least(F.lit(1.0), F.col("pvalues") * n_genes)).withColumn("rnk", F.row_number().over(Window.partitionBy("grp").orderBy("pvalues", F.desc("logfc"), "gene")))
 
 
@@ -103,7 +131,19 @@ def dataset_markers(expr: DataFrame, cells: DataFrame, positive, by: str = "samp
     own = cells.select("cell", F.lit("all").alias("cluster") if combined else F.col("grp").alias("cluster"), (F.col(by) == positive).alias("grp"))
     both = shares(expr, own, ("cluster",)).filter("grp").join(rank_sums(expr, own, ("cluster",)).filter("grp"), ["gene", "cluster", "grp"])
     out = both.select("gene", F.col("cluster").alias("grp"), "pct_1", "pct_2", "logfc", "z", two_sided(F.col("z")).alias("pvalues"), (F.col("logfc") > 0).alias("positive"))
-    return out.drop("grp").join(F.broadcast(cells.select("grp").distinct())) if combined else out
+    if not combined:
+        return out
+    groups = [r.grp for r in cells.select("grp").distinct().collect()]
+    return out.drop("grp").withColumn("grp", F.explode(F.array(*map(F.lit, groups))))
+
+
+def side_markers(marked: DataFrame, lr: DataFrame, complexes: DataFrame) -> DataFrame:
+    """Marker rows (gene, ...) by ligand or receptor: a gene that is one itself keeps its
+    row, any other has it once for each complex that it is part of, under ``name``."""
+    names = lr.select(F.col("ligand").alias("name")).union(lr.select("receptor")).distinct()
+    own = marked.join(names.withColumn("gene", F.col("name")), "gene")
+    parts = complexes.filter("member <> ''").select(F.col("name"), F.col("member").alias("gene")).distinct()
+    return own.unionByName(marked.join(names.select(F.col("name").alias("gene")), "gene", "left_anti").join(parts, "gene").select(*own.columns))
 
 
 def expressed(expr: DataFrame, min_cells: int = 10) -> DataFrame:
@@ -130,7 +170,7 @@ def map_degs(kept: DataFrame, stats: DataFrame, complexes: DataFrame) -> DataFra
     in the target; those of a complex are means over its parts."""
     parts = complexes.filter("member <> ''").select("name", F.col("member").alias("gene"))
     cols = [c for c in ("logfc", "pct_1", "pct_2") if c in stats.columns]
-    whole = stats.join(F.broadcast(parts), "gene").groupBy("name", "grp").agg(*(F.avg(c).alias(c) for c in cols))
+    whole = stats.join(parts, "gene").groupBy("name", "grp").agg(*(F.avg(c).alias(c) for c in cols))
     every = stats.select(F.col("gene").alias("name"), "grp", *cols).unionByName(whole)
     out = kept
     for side, end in (("ligand", "src"), ("receptor", "tgt")):

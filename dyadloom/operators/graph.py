@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -131,20 +132,35 @@ def flow_betweenness(m: np.ndarray) -> np.ndarray:
     return out
 
 
-MEASURES = ("betweenness", "hub", "authority", "eigen", "page_rank", "flowbet", "info")
+MEASURES = ("outdeg_unweighted", "indeg_unweighted", "outdeg", "indeg", "hub", "authority", "eigen", "page_rank", "betweenness", "flowbet", "info")
 
 
-def centrality(netp: DataFrame) -> DataFrame:
-    """(pathway_name, grp, measure, value) of the iterative measures; a slice, groups by
-    groups, is one task's matrix."""
+def centrality(netp: DataFrame, thresh: float | None = None) -> DataFrame:
+    """(pathway_name, grp, measure, value) of all eleven measures; a slice, groups by
+    groups, is one task's matrix. ``thresh`` needs p-values: strengths at or above it go."""
+    if thresh is not None:
+        netp = netp.withColumn("prob", F.when(F.col("pval") >= thresh, 0.0).otherwise(F.col("prob")))
     schema = f"pathway_name string, grp {dict(netp.dtypes)['src']}, measure string, value double"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         names, m = _matrix(rows)
-        values = (betweenness(m), _power(m @ m.T), _power(m.T @ m), _power(m.T), page_rank(m), flow_betweenness(m), information(m))
+        if np.isnan(m).any() or (m < 0).any():
+            raise ValueError("a strength is missing or negative")
+        live = m > 0
+        values = (live.sum(axis=1), live.sum(axis=0), m.sum(axis=1), m.sum(axis=0), _power(m @ m.T), _power(m.T @ m), _power(m.T), page_rank(m), betweenness(m), flow_betweenness(m), information(m))
         return pd.DataFrame([(rows["pathway_name"].iloc[0], g, k, float(v[i])) for k, v in zip(MEASURES, values) for i, g in enumerate(names)], columns=["pathway_name", "grp", "measure", "value"])
 
-    return netp.groupBy("pathway_name").applyInPandas(run, schema)
+    return netp.select("pathway_name", "src", "tgt", "prob").groupBy("pathway_name").applyInPandas(run, schema)
+
+
+def role_changes(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(pathway_name, grp, outgoing, incoming, class): second dataset's strengths minus
+    the first's, and what is specific to either or shared by both."""
+    sides = [degrees(d).select("pathway_name", "grp", F.col("outdeg").alias(f"o{k}"), F.col("indeg").alias(f"i{k}")) for k, d in enumerate((one, two))]
+    both = sides[0].join(sides[1], ["pathway_name", "grp"], "full").na.fill(0.0)
+    has = lambda k: (F.col(f"o{k}") + F.col(f"i{k}")) > 0
+    kind = F.when(has(0) & has(1), "shared").when(has(1), "second").when(has(0), "first").otherwise("neither")
+    return both.select("pathway_name", "grp", (F.col("o1") - F.col("o0")).alias("outgoing"), (F.col("i1") - F.col("i0")).alias("incoming"), kind.alias("class"))
 
 
 def signaling_roles(netp: DataFrame) -> DataFrame:
@@ -162,19 +178,62 @@ def role_scatter(netp: DataFrame) -> DataFrame:
     return d.join(loops, "grp", "left").select("grp", "x", "y", (F.col("n") - F.coalesce("loops", F.lit(0))).alias("n"))
 
 
-def functional_similarity(netp: DataFrame) -> DataFrame:
-    """(a, b, value): shared pairs of two pathways over all pairs of either."""
-    live = netp.filter("prob > 0").select("pathway_name", "src", "tgt")
+def _strong(netp: DataFrame, thresh: float | None) -> DataFrame:
+    """Strengths, without those below the quantile ``thresh`` of all of them."""
+    live = netp.filter("prob > 0")
+    if thresh is None:
+        return live
+    bar = live.agg(F.expr(f"percentile(prob, {float(thresh)})").alias("bar")).first()["bar"]
+    return live.filter(F.col("prob") >= bar)
+
+
+def functional_similarity(netp: DataFrame, k: int | None = None, thresh: float | None = None) -> DataFrame:
+    """(a, b, value): shared pairs of two pathways over all pairs of either, times what
+    they share of their ``k`` nearest pathways; rows without any are left out."""
+    live = _strong(netp, thresh).select("pathway_name", "src", "tgt")
     size = live.groupBy("pathway_name").agg(F.count(F.lit(1)).alias("n"))
     left, right = live.withColumnRenamed("pathway_name", "a"), live.withColumnRenamed("pathway_name", "b")
     common = left.join(right, ["src", "tgt"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
-    sized = common.join(F.broadcast(size.toDF("a", "na")), "a").join(F.broadcast(size.toDF("b", "nb")), "b")
-    return sized.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("value"))
+    sized = common.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
+    return _shared_neighbours(sized.select("a", "b", (F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("value")), k)
+
+
+def neighbour_shares(m: np.ndarray, k: int, prune: float = 1 / 15) -> np.ndarray:
+    """Shares of common neighbours, a node and its k - 1 nearest rows, ties to the first."""
+    n = len(m)
+    d = np.round(((m[:, None, :] - m[None, :, :]) ** 2).sum(axis=2), 9)
+    np.fill_diagonal(d, -1)
+    near = np.zeros((n, n), int)
+    for i in range(n):
+        near[i, np.argsort(d[i], kind="stable")[:k]] = 1
+    o = near @ near.T
+    w = o / np.maximum(2 * k - o, 1)
+    w[w < prune] = 0
+    np.fill_diagonal(w, 1)
+    return w
+
+
+def _shared_neighbours(similarity: DataFrame, k: int | None) -> DataFrame:
+    """``similarity`` (a, b, value) times the shares of common neighbours. The matrix of
+    pathways by pathways, a result, is one task's."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        names = sorted({*rows["a"], *rows["b"]})
+        at = {n: i for i, n in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        m[rows["a"].map(at), rows["b"].map(at)] = rows["value"]
+        np.fill_diagonal(m, 1)
+        own = k or math.ceil(math.sqrt(len(names))) + (len(names) > 25)
+        m = m * neighbour_shares(m, own)
+        return pd.DataFrame([(a, b, float(m[at[a], at[b]])) for a in names for b in names if m[at[a], at[b]] > 0], columns=["a", "b", "value"])
+
+    return similarity.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "a string, b string, value double")
 
 
-def similarity_between(netp: DataFrame) -> DataFrame:
+def similarity_between(netp: DataFrame, kind: str = "functional", k: int | None = None) -> DataFrame:
     """(a, b, value) between the pathways of all datasets, named pathway--dataset."""
-    return functional_similarity(netp.withColumn("pathway_name", F.concat_ws("--", "pathway_name", F.col("dataset").cast("string"))))
+    named = netp.withColumn("pathway_name", F.concat_ws("--", "pathway_name", F.col("dataset").cast("string")))
+    return functional_similarity(named, k) if kind == "functional" else structural_similarity(named, k)
 
 
 def rank_similarity(places: DataFrame, first=0, second=1) -> DataFrame:
@@ -232,26 +291,31 @@ def structural_distance(a: np.ndarray, b: np.ndarray, w=(0.45, 0.45, 0.1)) -> fl
     return float(w[0] * np.sqrt(_js(ma, mb) / np.log(2)) + w[1] * abs(np.sqrt(da) - np.sqrt(db)) + w[2] * third)
 
 
-def structural_similarity(netp: DataFrame) -> DataFrame:
-    """(a, b, value): 1 - structural distance over its largest, for pairs of pathways.
-    A pathway is packed as one row; the pairs, as many as pathways squared, are joined."""
-    packed = netp.filter("prob > 0").groupBy("pathway_name").agg(F.sort_array(F.collect_list(F.struct("src", "tgt", "prob"))).alias("edges"))
-    names = netp.select(F.col("src").alias("g")).union(netp.select("tgt")).agg(F.array_sort(F.collect_set("g")).alias("names"))
-    pairs = packed.toDF("a", "ea").join(packed.toDF("b", "eb"), F.col("a") < F.col("b")).join(F.broadcast(names))
-
-    @F.pandas_udf("double")
-    def far(ea: pd.Series, eb: pd.Series, names: pd.Series) -> pd.Series:
-        def one(x, y, g):
-            at, n = {v: k for k, v in enumerate(g)}, len(g)
-            mats = []
-            for edges in (x, y):
-                m = np.zeros((n, n))
-                for e in edges:
-                    m[at[e["src"]], at[e["tgt"]]] = e["prob"]
-                mats.append(m)
-            return structural_distance(*mats)
-
-        return pd.Series([one(*v) for v in zip(ea, eb, names)])
-
-    found = pairs.select("a", "b", far("ea", "eb", "names").alias("d"))
-    return found.select("a", "b", (1 - F.col("d") / F.greatest(F.max("d").over(Window.partitionBy()), F.lit(1e-12))).alias("value"))
+def structural_similarity(netp: DataFrame, k: int | None = None, thresh: float | None = None) -> DataFrame:
+    """(a, b, value): 1 - structural distance of pairs of pathways, times what they share
+    of their ``k`` nearest pathways. A pathway is one row, packed; pairs, as many as
+    pathways squared, are dealt out and compared one by one."""
+    groups = [r.g for r in netp.select(F.col("src").alias("g")).union(netp.select("tgt")).distinct().orderBy("g").collect()]
+    at, n = {g: i for i, g in enumerate(groups)}, len(groups)
+    packed = _strong(netp, thresh).groupBy("pathway_name").agg(F.collect_list(F.struct("src", "tgt")).alias("edges"))
+    rows = sorted(((r["pathway_name"], [(at[e["src"]], at[e["tgt"]]) for e in r["edges"]]) for r in packed.collect()), key=lambda r: r[0])  # a row a pathway
+
+    def run(batches):
+        mats = {}
+        for name, edges in rows:
+            m = np.zeros((n, n))
+            for i, j in edges:
+                m[i, j] = 1.0
+            mats[name] = m
+        for batch in batches:
+            a, b = batch["a"], batch["b"]
+            yield pd.DataFrame({"a": a, "b": b, "value": [1 - structural_distance(mats[x], mats[y]) for x, y in zip(a, b)]})
+
+    names = [r[0] for r in rows]
+    spark = netp.sparkSession
+    if not names:
+        return spark.createDataFrame([], "a string, b string, value double")
+    pairs = spark.createDataFrame([(x,) for x in names], "a string").select("a", F.explode(F.array(*map(F.lit, names))).alias("b")).filter("a < b")
+    half = pairs.repartition(spark.sparkContext.defaultParallelism).mapInPandas(run, "a string, b string, value double")
+    whole = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "value")).unionByName(spark.createDataFrame([(x, x, 1.0) for x in names], "a string, b string, value double"))
+    return _shared_neighbours(whole, k)

@@ -97,3 +97,15 @@ def update(lr: DataFrame, more: DataFrame, merged: bool = True) -> DataFrame:
     first = Window.partitionBy("interaction_name").orderBy("origin", "lr_ix")
     kept = both.withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
     return kept.withColumn("lr_ix", F.row_number().over(Window.orderBy("origin", "lr_ix", "interaction_name"))).drop("origin")
+
+
+def subset_expression(expr: DataFrame, lr: DataFrame, complexes: DataFrame, cofactors: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """Rows of genes that the knowledge base names, with ``ord``, the gene's place in it by
+    level of annotation; or of ``features``, in the order given, each once."""
+    if features is None:
+        ordered = order_by_annotation(lr)
+        wanted = extract_genes(ordered.withColumn("lr_ix", F.col("ord")).drop("ord"), complexes, cofactors)
+    else:
+        names = list(dict.fromkeys(features))
+        wanted = expr.sparkSession.createDataFrame([(g, k) for k, g in enumerate(names, 1)], "gene string, ord int")
+    return expr.join(wanted.select("gene", "ord"), "gene").select("cell", "gene", "value", "ord")

@@ -36,20 +36,90 @@ def _collected(df: DataFrame) -> pd.DataFrame:
     return df.toPandas()
 
 
-def factorize(x: np.ndarray, k: int, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative factors by multiplicative updates from a seeded start."""
-    rng = np.random.default_rng(10)
-    w, h = rng.random((x.shape[0], k)) + 0.1, rng.random((k, x.shape[1])) + 0.1
+def start_of(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative starting factors from the singular vectors: of each pair of vectors
+    the positive or the negative parts, whichever have the larger product of lengths."""
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    w, h = np.zeros((x.shape[0], k)), np.zeros((k, x.shape[1]))
+    for p in range(min(k, len(s))):
+        best = (0.0, np.abs(u[:, 0]) * 0, np.abs(vt[0]) * 0)
+        for sign in (1, -1):
+            a, b = np.maximum(sign * u[:, p], 0), np.maximum(sign * vt[p], 0)
+            na, nb = np.linalg.norm(a), np.linalg.norm(b)
+            if na * nb > best[0] + 1e-12:
+                best = (na * nb, a / na, b / nb)
+        w[:, p], h[p] = np.sqrt(s[p] * best[0]) * best[1], np.sqrt(s[p] * best[0]) * best[2]
+    return w, h
+
+
+def factorize(x: np.ndarray, k: int, rounds: int = 2000, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative factors by multiplicative updates of the Euclidean distance, from the
+    singular vectors, or from a random start if ``rng`` is given."""
+    w, h = start_of(x, k) if rng is None else (rng.random((x.shape[0], k)) + 0.1, rng.random((k, x.shape[1])) + 0.1)
+    w, h = np.maximum(w, 1e-9), np.maximum(h, 1e-9)
     for _ in range(rounds):
         h *= (w.T @ x) / np.maximum(w.T @ w @ h, 1e-12)
         w *= (x @ h.T) / np.maximum(w @ h @ h.T, 1e-12)
     return w, h
 
 
+def _dendrogram(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """At which distance two items first share a cluster, by mean linkage, and the clusters
+    when there are ``k``."""
+    n = len(d)
+    out, groups, own = np.zeros((n, n)), [[i] for i in range(n)], np.arange(n)
+    while len(groups) > 1:
+        if len(groups) == k:
+            for g, members in enumerate(groups):
+                own[members] = g
+        h, i, j = min((float(d[np.ix_(a, b)].mean()), p, q) for p, a in enumerate(groups) for q, b in enumerate(groups) if p < q)
+        for a in groups[i]:
+            out[a, groups[j]] = out[groups[j], a] = h
+        groups[i] += groups.pop(j)
+    return out, own
+
+
+def _silhouette(d: np.ndarray, own: np.ndarray) -> float:
+    out = []
+    for i in range(len(d)):
+        mine = (own == own[i]) & (np.arange(len(d)) != i)
+        if not mine.any() or len(set(own)) < 2:
+            out.append(0.0)
+            continue
+        a, b = d[i, mine].mean(), min(d[i, own == g].mean() for g in set(own) if g != own[i])
+        out.append((b - a) / max(a, b, 1e-12))
+    return float(np.mean(out))
+
+
+def select_k(netp: DataFrame, ks=range(2, 11), side: str = "src", runs: int = 30, seed: int = 10) -> DataFrame:
+    """(k, cophenetic, silhouette): how stable patterns are for each number of them, from
+    ``runs`` random starts; numbers a matrix is too small for are left out."""
+    x = _wide(netp, side).to_numpy()
+    rows, rng = [], np.random.default_rng(seed)
+    for k in ks:
+        if k > min(x.shape):
+            continue
+        together = np.zeros((len(x), len(x)))
+        for _ in range(runs):
+            own = factorize(x, k, 200, rng)[0].argmax(axis=1)
+            together += own[:, None] == own[None, :]
+        d = 1 - together / runs
+        (heights, own), upper = _dendrogram(d, k), np.triu_indices(len(x), 1)
+        a, b = d[upper], heights[upper]
+        same = np.ptp(a) < 1e-12 or np.ptp(b) < 1e-12
+        rows.append((int(k), 1.0 if same else float(np.corrcoef(a, b)[0, 1]), _silhouette(d, own)))
+    return netp.sparkSession.createDataFrame(rows, "k int, cophenetic double, silhouette double")
+
+
+def _wide(netp: DataFrame, side: str) -> pd.DataFrame:
+    return _collected(role_matrix(netp, side)).pivot(index="grp", columns="pathway_name", values="value").fillna(0.0).sort_index(axis=0).sort_index(axis=1)
+
+
 def patterns(netp: DataFrame, k: int, side: str = "src") -> DataFrame:
     """(kind, name, pattern, contribution): of groups by rows, of pathways by columns."""
-    wide = _collected(role_matrix(netp, side)).pivot(index="grp", columns="pathway_name", values="value").fillna(0.0).sort_index(axis=0).sort_index(axis=1)
-    w, h = factorize(wide.to_numpy(), k)
+    wide = _wide(netp, side)
+    w, h = factorize(wide.to_numpy(), min(k, *wide.shape))
+    k = w.shape[1]
     w, h = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-12), h / np.maximum(h.sum(axis=0, keepdims=True), 1e-12)
     rows = [("group", str(g), p + 1, float(w[i, p])) for i, g in enumerate(wide.index) for p in range(k)]
     rows += [("pathway", str(c), p + 1, float(h[p, j])) for j, c in enumerate(wide.columns) for p in range(k)]
@@ -81,6 +151,59 @@ def laplacian_embedding(similarity: DataFrame, k: int = 2) -> DataFrame:
     return similarity.sparkSession.createDataFrame([(str(n), [float(x) for x in vec[i]]) for n, i in at.items()], "node string, dims array<double>")
 
 
+def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, starts: int = 10) -> np.ndarray:
+    """Clusters of a small matrix: the best of ``starts`` runs from random rows."""
+    best = (np.inf, np.zeros(len(x), int))
+    for _ in range(starts):
+        c = x[rng.choice(len(x), k, replace=False)].copy()
+        for _ in range(100):
+            own = ((x[:, None] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            new = np.array([x[own == g].mean(axis=0) if (own == g).any() else c[g] for g in range(k)])
+            if np.allclose(new, c):
+                break
+            c = new
+        cost = float(((x - c[own]) ** 2).sum())
+        if cost < best[0] - 1e-12:
+            best = (cost, own)
+    return best[1]
+
+
+def laplacian_values(m: np.ndarray) -> np.ndarray:
+    """Sizes of the smallest hundred eigenvalues of the normalised Laplacian, ascending."""
+    root = np.sqrt(np.maximum(m.sum(axis=0), 1e-300))
+    out = -(m / root[:, None]) / root[None, :]
+    np.fill_diagonal(out, out.diagonal() + 1)
+    return np.sort(np.abs(np.linalg.eigvalsh((out + out.T) / 2)))[:100]
+
+
+def eigengap(together: np.ndarray, tol: float = 0.01) -> tuple[int, int]:
+    """(number at the largest gap, number of zeros) of a matrix of how often items meet,
+    what is at or below a tolerance that grows with the number of parts left out."""
+    zeros = int((laplacian_values(together) <= tol).sum())
+    tau = 0.3 if zeros <= 5 else 0.4 if zeros <= 10 else 0.5
+    m = np.where(together <= tau, 0, together)
+    values = laplacian_values((m + m.T) / 2)
+    gaps = np.diff(values)
+    return (int(gaps.argmax()) + 1 if len(gaps) else 1), int((values <= tol).sum())
+
+
+def cluster_pathways(places: DataFrame, k: int | None = None, seed: int = 1) -> DataFrame:
+    """(node, cluster) of (node, dims), pathways of a result. Without ``k`` it is the
+    largest eigengap of how often 2 to 10 clusters put two pathways together."""
+    rows = sorted(_collected(places.select("node", "dims")).itertuples(index=False), key=lambda r: r[0])
+    x, rng = np.array([list(r[1]) for r in rows], float), np.random.default_rng(seed)
+    if k is None and len(x) > 2:
+        tried = [_kmeans(x, n, rng) for n in range(2, min(len(x) - 1, 10) + 1)]
+        k = eigengap(np.mean([own[:, None] == own[None, :] for own in tried], axis=0))[0]
+    own = _kmeans(x, min(k or 1, len(x)), rng) if len(x) else []
+    return places.sparkSession.createDataFrame([(str(r[0]), int(c)) for r, c in zip(rows, own)], "node string, cluster int")
+
+
+def cluster_similarity(similarity: DataFrame, k: int, vectors: int | None = None, seed: int = 1) -> DataFrame:
+    """(node, cluster) by the smallest eigenvectors of a similarity (a, b, value)."""
+    return cluster_pathways(laplacian_embedding(similarity, vectors or k), k, seed)
+
+
 def smooth(expr: DataFrame, edges: DataFrame, alpha: float = 0.5, by: str = "rows") -> DataFrame:
     """(cell, gene, value) after a walk with restart on the gene network (g1, g2): the
     solution of (I - alpha A) E = (1 - alpha) E0, A being the network's links with rows,

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from . import de
 
 
 def significant(net: DataFrame, thresh: float, strict: bool = False) -> DataFrame:
@@ -22,12 +28,26 @@ def filter_min_cells(net: DataFrame, cells: DataFrame, min_cells: int = 10) -> D
     return out.withColumn("prob", F.when(gone, 0.0).otherwise(F.col("prob"))).select(*net.columns)
 
 
-def filter_min_samples(net: DataFrame, support: DataFrame, min_samples: int) -> DataFrame:
+def filter_min_samples(net: DataFrame, support: DataFrame, min_samples: int, rare: DataFrame | None = None) -> DataFrame:
     """``support``: (lr_ix, src, tgt, n) samples with a positive strength. An interaction
-    some of whose pairs are partly supported keeps only pairs with enough samples."""
+    some of whose pairs are partly supported keeps only pairs with enough samples, and,
+    where ``rare`` (grp) is given, those of groups too small in some sample."""
     joined = net.join(support, ["lr_ix", "src", "tgt"], "left").na.fill(0, ["n"])
     partly = F.max(((F.col("n") > 0) & (F.col("n") < min_samples)).cast("int")).over(Window.partitionBy("lr_ix"))
-    return joined.withColumn("partly", partly).withColumn("prob", F.when((F.col("partly") == 1) & (F.col("n") < min_samples), 0.0).otherwise(F.col("prob"))).select(*net.columns)
+    gone = (F.col("partly") == 1) & (F.col("n") < min_samples)
+    if rare is not None:
+        for side in ("src", "tgt"):
+            joined = joined.join(rare.select(F.col("grp").alias(side)).distinct().withColumn(f"{side}_rare", F.lit(True)), side, "left")
+        gone = gone & F.col("src_rare").isNull() & F.col("tgt_rare").isNull()
+    return joined.withColumn("partly", partly).withColumn("prob", F.when(gone, 0.0).otherwise(F.col("prob"))).select(*net.columns)
+
+
+def rare_groups(cells: DataFrame, min_cells: int = 10) -> DataFrame:
+    """(grp): groups of ``min_cells`` cells or fewer in some sample, but not in all together."""
+    own = cells.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > min_cells).select("grp")
+    every = cells.select("sample").distinct().join(own)  # samples by groups
+    each = every.join(cells.groupBy("sample", "grp").agg(F.count(F.lit(1)).alias("n")), ["sample", "grp"], "left").na.fill(0, ["n"])
+    return each.filter(F.col("n") <= min_cells).select("grp").distinct()
 
 
 def aggregate_net(net: DataFrame, thresh: float = 0.05, sources=None, targets=None, lr_ix=None, remove_isolate: bool = False) -> DataFrame:
@@ -138,11 +158,52 @@ def information_flow(netp: DataFrame, extra: list[str] = []) -> DataFrame:  # no
     return sums.select("pathway_name", *extra, "total", F.coalesce("flow", F.col("top") * (1.1 + 0.4 * step)).alias("flow"))
 
 
-def compare_flow(netp: DataFrame) -> DataFrame:
-    """``netp`` with ``dataset`` 0 or 1: (pathway_name, flow_0, flow_1, ratio) of both."""
+def compare_flow(netp: DataFrame, datasets=(0, 1)) -> DataFrame:
+    """``netp`` with ``dataset``: (pathway_name, flow_... of each dataset, ratio of the
+    last to the first)."""
     flow = information_flow(netp, ["dataset"])
-    wide = flow.groupBy("pathway_name").agg(*(F.coalesce(F.max(F.when(F.col("dataset") == k, F.col("flow"))), F.lit(0.0)).alias(f"flow_{k}") for k in (0, 1)))
-    return wide.withColumn("ratio", F.when(F.col("flow_0") > 0, F.col("flow_1") / F.col("flow_0")))
+    wide = flow.groupBy("pathway_name").agg(*(F.coalesce(F.max(F.when(F.col("dataset") == k, F.col("flow"))), F.lit(0.0)).alias(f"flow_{k}") for k in datasets))
+    first, last = F.col(f"flow_{datasets[0]}"), F.col(f"flow_{datasets[-1]}")
+    return wide.withColumn("ratio", F.when(first > 0, last / first))
+
+
+@cache
+def _signed_counts(n: int) -> tuple[int, ...]:
+    """How many choices of signs of the ranks 1..n give each sum."""
+    out = [1] + [0] * (n * (n + 1) // 2)
+    for k in range(1, n + 1):
+        for u in range(len(out) - 1, k - 1, -1):
+            out[u] += out[u - k]
+    return tuple(out)
+
+
+@F.pandas_udf(DoubleType())
+def _p_of_signed_rank(v: pd.Series, n: pd.Series) -> pd.Series:
+    def one(v, n):
+        counts, total = _signed_counts(n), 2**n
+        return min(1.0, 2 * min(sum(counts[: v + 1]), sum(counts[v:])) / total)
+
+    return pd.Series([one(round(a), int(b)) for a, b in zip(v, n)])
+
+
+def paired_test(netp: DataFrame) -> DataFrame:
+    """(pathway_name, pvalue) between datasets 0 and 1 over the same pairs of groups: exact
+    below 50 differences without ties or zeros, else normal."""
+    each = signed_rank(netp)
+    exact = (F.col("n") < 50) & ~F.col("tied") & (F.col("zeros") == 0)
+    safe = lambda c, other: F.when(exact, F.col(c)).otherwise(F.lit(other)).cast("double")
+    return each.select("pathway_name", F.when(exact, _p_of_signed_rank(safe("v", 0), safe("n", 1))).otherwise(de.two_sided(F.col("z"))).alias("pvalue"))
+
+
+def unpaired_test(netp: DataFrame) -> DataFrame:
+    """(pathway_name, pvalue) between datasets 0 and 1 with all pairs of groups as two
+    samples; pairs without strength count as zeros."""
+    ends = netp.select("dataset", F.col("src").alias("g")).union(netp.select("dataset", "tgt")).distinct()
+    grid = ends.join(ends.withColumnRenamed("g", "h"), "dataset")  # pairs of groups, a result's shape
+    name = lambda a, b: F.concat_ws("|", F.col("dataset").cast("string"), F.col(a).cast("string"), F.col(b).cast("string"))
+    cells = grid.select(name("g", "h").alias("cell"), (F.col("dataset") == 0).alias("grp"))
+    expr = netp.groupBy("dataset", "src", "tgt", F.col("pathway_name").alias("gene")).agg(F.sum("prob").alias("value")).select(name("src", "tgt").alias("cell"), "gene", "value")
+    return de.rank_sums(expr, cells).filter("grp").select(F.col("gene").alias("pathway_name"), de.p_value().alias("pvalue"))
 
 
 def signed_rank(netp: DataFrame) -> DataFrame:
@@ -186,6 +247,42 @@ def bubble(net: DataFrame, lr: DataFrame, thresh: float = 0.05) -> DataFrame:
     return kept.select(F.concat_ws(" -> ", "src", "tgt").alias("source_target"), "interaction_name", "prob", band.alias("band"))
 
 
+def chord_edges(net: DataFrame, lr: DataFrame, thresh: float = 0.05, by_gene: bool = True) -> DataFrame:
+    """(src, tgt, name, start, end, prob): links of a chord diagram with where each begins
+    on its source's and ends on its target's arc, the strongest first."""
+    kept = subset_communication(net, lr, thresh)
+    name = F.concat_ws(" - ", "ligand", "receptor") if by_gene else F.col("pathway_name")
+    links = kept.groupBy("src", "tgt", name.alias("name")).agg(F.sum("prob").alias("prob"))
+
+    def before(side):
+        order = Window.partitionBy(side).orderBy(F.desc(F.round("prob", 9)), "src", "tgt", "name")
+        return F.coalesce(F.sum("prob").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+
+    return links.select("src", "tgt", "name", before("src").alias("start"), before("tgt").alias("end"), "prob")
+
+
+def river(patterns: DataFrame, cutoff: float = 0.5) -> DataFrame:
+    """(pattern, group, pathway, flow) of contributions (kind, name, pattern, contribution):
+    groups and pathways joined by the patterns to which both give at least ``cutoff``."""
+    side = lambda kind, name: patterns.filter((F.col("kind") == kind) & (F.col("contribution") >= cutoff)).select("pattern", F.col("name").alias(name), F.col("contribution").alias(f"c_{name}"))
+    return side("group", "group").join(side("pathway", "pathway"), "pattern").select("pattern", "group", "pathway", F.least("c_group", "c_pathway").alias("flow"))
+
+
+def dots(netp: DataFrame, patterns: DataFrame, side: str = "src") -> DataFrame:
+    """(grp, pathway_name, pattern, size): each group's part in a pathway, under the group's
+    foremost pattern, times its contribution."""
+    top = Window.partitionBy("name").orderBy(F.desc("contribution"), "pattern")
+    first = patterns.filter("kind = 'group'").withColumn("nth", F.row_number().over(top)).filter("nth = 1")
+    sums = netp.groupBy(F.col(side).alias("grp"), "pathway_name").agg(F.sum("prob").alias("s"))
+    share = sums.withColumn("size", F.col("s") / F.max("s").over(Window.partitionBy("pathway_name")))
+    return share.filter("size > 0").join(first, share["grp"].cast("string") == first["name"]).select("grp", "pathway_name", "pattern", (F.col("size") * F.col("contribution")).alias("size"))
+
+
+def max_weights(aggs: DataFrame, measures=("count", "weight")) -> DataFrame:
+    """The largest value of each measure over datasets, for a common scale."""
+    return aggs.agg(*(F.max(m).alias(m) for m in measures))
+
+
 def lift(net: DataFrame, groups: DataFrame) -> DataFrame:
     """The tensor over a superset of groups (grp), new cells without strength."""
     ends = groups.select(F.col("grp").alias("src")).join(F.broadcast(groups.select(F.col("grp").alias("tgt"))))

@@ -123,7 +123,7 @@ def weights(regions: DataFrame, scale: float = 0.01, use_distance: bool = True)
     if not use_distance:
         return regions.select("src", "tgt", F.when(F.col("d").isNotNull(), 1.0).otherwise(0.0).alias("weight"))
     raw = regions.withColumn("w", F.when((F.col("src") != F.col("tgt")) & (F.col("d") > 0), 1 / (F.col("d") * scale)))
-    return raw.select("src", "tgt", F.when(F.col("src") == F.col("tgt"), F.max("w").over(Window.partitionBy())).otherwise(F.coalesce("w", F.lit(0.0))).alias("weight"))
+    return raw.select("src", "tgt", F.when(F.col("src") == F.col("tgt"), F.coalesce(F.max("w").over(Window.partitionBy()), F.lit(0.0))).otherwise(F.coalesce("w", F.lit(0.0))).alias("weight"))
 
 
 def contact_overlap(cells: DataFrame, k: int, reach: float, k_min: int = 1, tol: float = 0.0) -> DataFrame:

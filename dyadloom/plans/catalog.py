@@ -328,7 +328,7 @@ def de_pct_fc(spark, sf_dir):
 @query
 def wilcox_w(spark, sf_dir):
     s = _study(spark, sf_dir)
-    return de.rank_sums(s.expr, s.cells)
+    return de.rank_sums(s.expr, s.cells).drop("tied")
 
 
 @query
@@ -549,6 +549,74 @@ def smooth(spark, sf_dir):
     return learn.smooth(_study(spark, sf_dir).expr, edges)
 
 
+@query
+def chord_edges(spark, sf_dir):
+    return net.chord_edges(_seen(spark, sf_dir), _lr(spark), THRESH)
+
+
+@query
+def side_markers(spark, sf_dir):
+    s = _study(spark, sf_dir)
+    return de.side_markers(_marked(spark, sf_dir).select("gene", "grp"), s.lr, s.complexes)
+
+
+@query
+def filter_rare_kept(spark, sf_dir):
+    rare = net.rare_groups(_study(spark, sf_dir).cells, 100)
+    return net.filter_min_samples(_seen(spark, sf_dir), _support(spark, sf_dir), 2, rare).select(*PAIRS, "prob")
+
+
+@query
+def role_changes(spark, sf_dir):
+    both = _dataset_pathways(spark, sf_dir)
+    return graph.role_changes(*(both.filter(F.col("dataset") == k) for k in (0, 1)))
+
+
+@query
+def subset_expression(spark, sf_dir):
+    s = _study(spark, sf_dir)
+    return kb.subset_expression(s.expr, s.lr, s.complexes, s.cofactors).select("cell", "gene", "value")
+
+
+@query
+def subset_groups(spark, sf_dir):
+    some = merge.subset(_raw(spark, sf_dir), groups=["BUILDING", "MACHINERY", "FURNITURE"])
+    cells = merge.relabel(some.cells, {"BUILDING": "heavy", "MACHINERY": "heavy"})
+    return some.expr.join(cells, "cell").groupBy("grp").agg(F.count_distinct("cell").alias("n"), F.sum("value").alias("total"))
+
+
+@query
+def mean_by_sample(spark, sf_dir):
+    s = _study(spark, sf_dir)
+    return group_means(s.expr, s.cells, "mean", by=("sample", "grp"))
+
+
+@query
+def max_weights(spark, sf_dir):
+    rows = _datasets(spark, sf_dir).groupBy("dataset", "src", "tgt").agg(F.count_if(F.col("prob") > 0).alias("count"), F.sum("prob").alias("weight"))
+    return net.max_weights(rows)
+
+
+@query
+def paired_test(spark, sf_dir):
+    return net.paired_test(_dataset_pathways(spark, sf_dir))
+
+
+@query
+def unpaired_test(spark, sf_dir):
+    return net.unpaired_test(_dataset_pathways(spark, sf_dir))
+
+
+@query
+def select_k(spark, sf_dir):
+    return learn.select_k(_netp(spark, sf_dir))
+
+
+@query
+def cluster_pathways(spark, sf_dir):
+    return learn.cluster_pathways(learn.laplacian_embedding(graph.similarity_between(_dataset_pathways(spark, sf_dir))))
+
+
 @cache
 def _sql() -> dict[str, str]:
     return {k: v for k, v in oracle.queries().items() if k in QUERIES}

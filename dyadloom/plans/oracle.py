@@ -105,6 +105,23 @@ def _base() -> str:
     return "WITH " + ",\n".join(ctes)
 
 
+def _similar(live: str) -> list[str]:
+    """Shared pairs, and shares of common neighbours among rows of that matrix."""
+    return [
+        f"live AS ({live})",
+        "sz AS (SELECT name, count(*) AS n FROM live GROUP BY 1)",
+        "kk AS (SELECT (ceil(sqrt(count(*))) + (count(*) > 25)::INT)::BIGINT AS k FROM sz)",
+        "jc AS (SELECT x.name AS a, y.name AS b, count(*) AS c FROM live x JOIN live y USING (src, tgt) GROUP BY 1, 2)",
+        "sm AS (SELECT x.name AS a, y.name AS b, CASE WHEN x.name = y.name THEN 1 ELSE coalesce(c / (x.n + y.n - c), 0) END::DOUBLE AS v FROM sz x CROSS JOIN sz y LEFT JOIN jc ON a = x.name AND b = y.name)",
+        "di AS (SELECT l.a AS a, r.a AS b, round(sum(pow(l.v - r.v, 2)), 9) AS d FROM sm l JOIN sm r ON l.b = r.b WHERE l.a <> r.a GROUP BY 1, 2)",
+        "ne AS (SELECT a, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rn FROM di) WHERE rn < (SELECT k FROM kk) UNION ALL SELECT name, name FROM sz)",
+        "ov AS (SELECT x.a AS a, y.a AS b, count(*) / (2 * (SELECT k FROM kk) - count(*)) AS w FROM ne x JOIN ne y ON x.b = y.b GROUP BY 1, 2)",
+    ]
+
+
+_SMOOTHED = "SELECT a, b, round(v * w, 6) + 0.0::DOUBLE AS value FROM (SELECT a, b, v, CASE WHEN a = b THEN 1 WHEN w < 1 / 15 THEN 0 ELSE w END AS w FROM sm JOIN ov USING (a, b)) WHERE v * w > 0"
+
+
 def _region(p: str, apart: str, reach: int) -> list[str]:
     """Trimmed distances of groups from (sample, i, j, a, b, d), as ``p``rb (a, b, d, adj)."""
     return [
@@ -214,7 +231,7 @@ def queries() -> dict[str, str]:
         "degree_strength": "SELECT pathway_name, grp, outdeg_unweighted, indeg_unweighted, " + _r("outdeg") + ", " + _r("indeg") + " FROM degree",
         "signaling_role": "SELECT pathway_name, grp, " + _r("outdeg / max(outdeg) OVER w", "outgoing") + ", " + _r("indeg / max(indeg) OVER w", "incoming") + " FROM degree WINDOW w AS (PARTITION BY pathway_name)",
         "role_scatter": "SELECT grp, " + _r("sum(outdeg)", "x") + ", " + _r("sum(indeg)", "y") + ", (sum(outdeg_unweighted) + sum(indeg_unweighted) - (SELECT count(*) FROM netp z WHERE prob > 0 AND src = tgt AND src = d.grp))::BIGINT AS n FROM degree d GROUP BY grp",
-        "similarity_functional": "SELECT a, b, " + _r("k / (na + nb - k)", "value") + " FROM (SELECT x.pathway_name AS a, y.pathway_name AS b, count(*) AS k FROM netp x JOIN netp y USING (src, tgt) WHERE x.prob > 0 AND y.prob > 0 GROUP BY 1, 2) JOIN (SELECT pathway_name AS a, count(*) AS na FROM netp WHERE prob > 0 GROUP BY 1) USING (a) JOIN (SELECT pathway_name AS b, count(*) AS nb FROM netp WHERE prob > 0 GROUP BY 1) USING (b)",
+        "similarity_functional": (_similar("SELECT pathway_name AS name, src, tgt FROM netp WHERE prob > 0"), _SMOOTHED),
         "knn_topk": "SELECT sample, node, neighbour, rnk, " + _r("d") + " FROM near WHERE rnk <= 5",
         "snn": (["nb AS (SELECT node, neighbour FROM near WHERE rnk <= 4 UNION ALL SELECT cell, cell FROM place)"], "SELECT i, j, round(w, 6) + 0.0::DOUBLE AS w FROM (SELECT a.node AS i, b.node AS j, CASE WHEN a.node = b.node THEN 1.0::DOUBLE ELSE count(*) / (10 - count(*)) END AS w FROM nb a JOIN nb b USING (neighbour) GROUP BY 1, 2) WHERE w >= 1 / 15"),
         "cell_distance": "SELECT sample, i, j, " + _r("d") + " FROM apart WHERE i < j AND d <= 20.5",
@@ -229,21 +246,45 @@ def queries() -> dict[str, str]:
     ]
     tail["contact_overlap"] = (overlap, "SELECT DISTINCT a AS src, b AS tgt, ((a, b) IN (SELECT (a, b) FROM hit) AND (b, a) IN (SELECT (a, b) FROM hit))::INT AS adjacent FROM nn")
     joined = "rd AS (SELECT x.a AS src, x.b AS tgt, CASE WHEN x.adj * y.adj = 1 THEN (x.d + y.d) / 2 END AS d FROM rb x JOIN rb y ON x.a = y.b AND x.b = y.a)"
-    tail["spatial_weight"] = ([*region, joined, "rw AS (SELECT *, CASE WHEN src <> tgt AND d > 0 THEN 1 / (d * 0.01::DOUBLE) END AS w FROM rd)"], "SELECT src, tgt, " + _r("CASE WHEN src = tgt THEN max(w) OVER () ELSE coalesce(w, 0) END", "weight") + " FROM rw")
+    tail["spatial_weight"] = ([*region, joined, "rw AS (SELECT *, CASE WHEN src <> tgt AND d > 0 THEN 1 / (d * 0.01::DOUBLE) END AS w FROM rd)"], "SELECT src, tgt, " + _r("CASE WHEN src = tgt THEN coalesce(max(w) OVER (), 0) ELSE coalesce(w, 0) END", "weight") + " FROM rw")
     spots = [
         "home AS (SELECT c_custkey AS cell, c_mktsegment AS grp, (c_custkey % 2)::INT AS sample, c_acctbal::DOUBLE AS x, (c_nationkey * 400)::DOUBLE AS y FROM customer)",
         "apart_c AS (SELECT a.sample, a.cell AS i, b.cell AS j, a.grp AS a, b.grp AS b, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM home a JOIN home b ON a.sample = b.sample)",
         *_region("c_", "apart_c", 250),
         "c_rd AS (SELECT x.a AS src, x.b AS tgt, x.adj * y.adj AS contact, CASE WHEN x.adj * y.adj = 1 THEN (x.d + y.d) / 2 END AS d FROM c_rb x JOIN c_rb y ON x.a = y.b AND x.b = y.a)",
         "c_rw AS (SELECT *, CASE WHEN src <> tgt AND d > 0 THEN 1 / (d * 0.01::DOUBLE) END AS w FROM c_rd)",
-        "c_sw AS (SELECT src, tgt, contact, CASE WHEN src = tgt THEN max(w) OVER () ELSE coalesce(w, 0) END AS weight FROM c_rw)",
+        "c_sw AS (SELECT src, tgt, contact, CASE WHEN src = tgt THEN coalesce(max(w) OVER (), 0) ELSE coalesce(w, 0) END AS weight FROM c_rw)",
     ]
     tail["commun_prob_contact"] = (spots, "SELECT lr_ix, src, tgt, " + _r("prob * weight * CASE WHEN lr_ix > (SELECT max(lr_ix) FROM lr WHERE annotation <> 'Cell-Cell Contact') THEN contact ELSE 1 END", "prob") + " FROM o_prob JOIN c_sw USING (src, tgt)")
     paths = "dp AS (SELECT dataset, pathway_name, src, tgt, sum(prob) AS prob FROM datasets JOIN lr USING (lr_ix) GROUP BY ALL)"
-    tail["similarity_pairwise"] = (
-        [paths, "live AS (SELECT pathway_name || '--' || dataset AS name, src, tgt FROM dp WHERE prob > 0)", "size AS (SELECT name, count(*) AS n FROM live GROUP BY 1)"],
-        "SELECT a, b, " + _r("k / (x.n + y.n - k)", "value") + " FROM (SELECT p.name AS a, q.name AS b, count(*) AS k FROM live p JOIN live q USING (src, tgt) GROUP BY 1, 2) JOIN size x ON x.name = a JOIN size y ON y.name = b",
+    tail["chord_edges"] = (
+        ["ch AS (SELECT src, tgt, ligand || ' - ' || receptor AS name, sum(prob) AS prob FROM kept GROUP BY 1, 2, 3)"],
+        "SELECT src, tgt, name, " + ", ".join(_r(f"coalesce(sum(prob) OVER (PARTITION BY {s} ORDER BY round(prob, 9) DESC, src, tgt, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)", n) for s, n in (("src", "start"), ("tgt", "\"end\""))) + ", " + _r("prob") + " FROM ch",
+    )
+    tail["side_markers"] = (
+        ["mk AS (SELECT gene, grp FROM shares WHERE logfc > 0.005::DOUBLE)", "sn AS (SELECT ligand AS name FROM lr UNION SELECT receptor FROM lr)"],
+        "SELECT gene AS name, gene, grp FROM mk WHERE gene IN (SELECT name FROM sn) UNION ALL SELECT DISTINCT c.name, gene, grp FROM mk JOIN complex c ON c.member = gene WHERE gene NOT IN (SELECT name FROM sn)",
+    )
+    tail["filter_rare_kept"] = (
+        [
+            *support,
+            "sg AS (SELECT s.sample, g.grp, count(c.cell) AS n FROM (SELECT DISTINCT sample FROM cells) s CROSS JOIN (SELECT grp FROM cells GROUP BY 1 HAVING count(*) > 100) g LEFT JOIN cells c ON c.sample = s.sample AND c.grp = g.grp GROUP BY 1, 2)",
+            "rare AS (SELECT DISTINCT grp FROM sg WHERE n <= 100)",
+        ],
+        "SELECT lr_ix, src, tgt, CASE WHEN partly AND n < 2 AND src NOT IN (SELECT grp FROM rare) AND tgt NOT IN (SELECT grp FROM rare) THEN 0 ELSE round(prob, 6) + 0.0::DOUBLE END::DOUBLE AS prob "
+        "FROM (SELECT s.*, coalesce(n, 0) AS n, bool_or(coalesce(n, 0) > 0 AND coalesce(n, 0) < 2) OVER (PARTITION BY s.lr_ix) AS partly FROM seen s LEFT JOIN support USING (lr_ix, src, tgt))",
+    )
+    tail["role_changes"] = (
+        [paths, "dg AS (SELECT pathway_name, grp, sum(o0) AS o0, sum(o1) AS o1, sum(i0) AS i0, sum(i1) AS i1 FROM (SELECT pathway_name, src AS grp, CASE dataset WHEN 0 THEN prob ELSE 0 END AS o0, CASE dataset WHEN 1 THEN prob ELSE 0 END AS o1, 0 AS i0, 0 AS i1 FROM dp WHERE prob > 0 "
+         "UNION ALL SELECT pathway_name, tgt, 0, 0, CASE dataset WHEN 0 THEN prob ELSE 0 END, CASE dataset WHEN 1 THEN prob ELSE 0 END FROM dp WHERE prob > 0) GROUP BY 1, 2)"],
+        "SELECT pathway_name, grp, " + _r("o1 - o0", "outgoing") + ", " + _r("i1 - i0", "incoming") + ", CASE WHEN o0 + i0 > 0 AND o1 + i1 > 0 THEN 'shared' WHEN o1 + i1 > 0 THEN 'second' WHEN o0 + i0 > 0 THEN 'first' ELSE 'neither' END AS class FROM dg",
     )
+    named = "nm AS (SELECT unnest([ligand, receptor, agonist, antagonist, co_a, co_i]) AS name FROM lr), pt AS (SELECT * FROM complex UNION ALL SELECT * FROM cofactor), used AS (SELECT DISTINCT coalesce(p.member, n.name) AS gene FROM nm n LEFT JOIN pt p ON p.name = n.name AND p.member <> '' WHERE n.name <> '')"
+    tail["subset_expression"] = ([named], "SELECT cell, gene, " + _r("value") + " FROM expr WHERE gene IN (SELECT gene FROM used)")
+    tail["subset_groups"] = "SELECT CASE WHEN grp IN ('BUILDING', 'MACHINERY') THEN 'heavy' ELSE grp END AS grp, count(DISTINCT cell) AS n, " + _r("sum(value)", "total") + " FROM raw JOIN cells USING (cell) WHERE grp IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY 1"
+    tail["mean_by_sample"] = "SELECT gene, sample, grp, " + _r("avg(v)", "value") + " FROM dense GROUP BY 1, 2, 3"
+    tail["max_weights"] = "SELECT max(c) AS count, " + _r("max(w)", "weight") + " FROM (SELECT count(*) FILTER (prob > 0) AS c, sum(prob) AS w FROM datasets GROUP BY dataset, src, tgt)"
+    tail["similarity_pairwise"] = ([paths, *_similar("SELECT pathway_name || '--' || dataset AS name, src, tgt FROM dp WHERE prob > 0")], _SMOOTHED)
     tail["rank_similarity"] = ([paths, "spot AS (SELECT dataset, pathway_name, sum(prob) AS s, max(prob) AS m FROM dp GROUP BY 1, 2)"], "SELECT pathway_name, " + _r("sqrt(pow(p.s - q.s, 2) + pow(p.m - q.m, 2))", "distance") + " FROM spot p JOIN spot q USING (pathway_name) WHERE p.dataset = 0 AND q.dataset = 1")
     tail["rank_net_test"] = (
         [
