@@ -62,7 +62,7 @@ def _tie(text: bytes) -> int:
 def _packed(docs: list[tuple[int | None, bytes]]) -> bytes:
     docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, _tie(d[1])))
     head = np.array([len(docs), *(0 if i is None else i for i, _ in docs), *(i is None for i, _ in docs), *(len(t) for _, t in docs)], "<i8")
-    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(t for _, t in docs))
+    return zstandard.ZstdCompressor(level=9).compress(head.tobytes() + b"".join(t for _, t in docs))
 
 
 def _unpacked(blob: bytes) -> tuple[list[int | None], list[bytes]]:
