@@ -130,7 +130,8 @@ def _vectors(spark):
     rows[7] = (7, rows[50][1], 0)
     rows[9] = (9, rows[50][1], 0)
     odd = [(500, None, 1), (550, [], 1), (600, [0.0] * 8, 1), (650, [float("nan")] * 8, 1), (700, [None] + [1.0] * 7, 1), (750, [float("inf")] * 8, 1), (None, [1.0] * 8, 1), (800, [1.0, 2.0], 1)]
-    return rows, spark.createDataFrame([*rows, rows[3], *odd], "vec_id long, embedding array<double>, label int")
+    rows.append(rows[3])  # every row is a candidate, a repeated one twice
+    return rows, spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<double>, label int")
 
 
 @pytest.mark.parametrize("kind", ["cosine", "product"])
