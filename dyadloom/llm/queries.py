@@ -84,7 +84,8 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id."""
+    """One document of each group of near copies, that of the smallest doc_id: tries over
+    SimHash bits joined with themselves, their links held to the exact similarity."""
     return similar.one_of_each(docs)
 
 
