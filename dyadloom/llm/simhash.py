@@ -41,6 +41,8 @@ WORDS, TABLES = 27, 72
 _KEY, _WALKED, _MOST = 4, 20, 32
 #: Shingles up to which a text has a second wide fingerprint, as votes of few are rough.
 FEW = 32
+#: Neighbours in a trie's order that are compared before the walk.
+_AHEAD = 4
 #: Members that one cut node of these tries holds on average.
 WIDE_NODE = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
@@ -106,6 +108,11 @@ class _Forest:
                 root = up
         self.root = root
 
+    def joined(self, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+        """Whether all members from a0 to a1 and from b0 to b1 are of one component."""
+        run = np.concatenate([[0], np.cumsum(self.root[1:] != self.root[:-1])])
+        return (run[a0] == run[a1 - 1]) & (run[b0] == run[b1 - 1]) & (self.root[a0] == self.root[b0])
+
 
 def _halves(x: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: int) -> np.ndarray:
     """Where, in each node x[lo:hi], the elements with bit ``depth`` set begin."""
@@ -130,12 +137,13 @@ def _pairs(a0, a1, b0, b1):
         start = stop
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, err: int, budget: int, end: int = 64):
+def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, err: int, budget: int, end: int = 64, done=None):
     """Walk the tries of sorted ``a`` and ``b`` (None: ``a`` with itself) together.
 
     Both are equal in their ``depth`` leading bits but for ``err`` of them, and have no
-    bits after the first ``end``. Yields arrays (i, j) of members within ``budget``;
-    memory is bounded by the frontier.
+    bits after the first ``end``; equal members beyond that are halved by place. Yields
+    arrays (i, j) of members within ``budget``; memory is bounded by the frontier.
+    ``done(a0, a1, b0, b1)`` says which pairs of nodes need no walk any more.
     """
     own = b is None
     b = a if own else b
@@ -146,9 +154,10 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, err: int, budget
     while stack:
         depth, a0, a1, b0, b1, e, same = stack.pop()
         while len(a0):
+            if done is not None:
+                left = ~done(a0, a1, b0, b1)
+                a0, a1, b0, b1, e, same = (v[left] for v in (a0, a1, b0, b1, e, same))
             leaf = (a1 - a0) * (b1 - b0) <= _LEAF
-            if depth == end:
-                leaf[:] = True
             for i, j in _pairs(a0[leaf], a1[leaf], b0[leaf], b1[leaf]):
                 near = np.bitwise_count(a[i] ^ b[j]) <= budget
                 if own:
@@ -157,31 +166,35 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, err: int, budget
             a0, a1, b0, b1, e, same = (v[~leaf] for v in (a0, a1, b0, b1, e, same))
             if not len(a0):
                 break
-            am, bm = _halves(a, a0, a1, depth), _halves(b, b0, b1, depth)
+            if depth < end:
+                am, bm, far = _halves(a, a0, a1, depth), _halves(b, b0, b1, depth), e + 1
+            else:
+                am, bm, far = (a0 + a1) // 2, (b0 + b1) // 2, e
             parts = (
                 (a0, am, b0, bm, e, same),
                 (am, a1, bm, b1, e, same),
-                (a0, am, bm, b1, e + 1, np.zeros_like(same)),
-                (am, a1, b0, bm, e + 1, same),  # of a node with itself: the mirror of the third
+                (a0, am, bm, b1, far, np.zeros_like(same)),
+                (am, a1, b0, bm, far, same),  # of a node with itself: the mirror of the third
             )
             a0, a1, b0, b1, e, same = (np.concatenate(v) for v in zip(*parts))
             mirror = np.zeros(len(a0), bool)
             mirror[3 * len(am) :] = same[3 * len(am) :]
             go = (a0 < a1) & (b0 < b1) & (e <= budget) & ~mirror
             a0, a1, b0, b1, e, same = (v[go] for v in (a0, a1, b0, b1, e, same))
-            depth += 1
+            depth = min(depth + 1, end)
             while len(a0) > _FRONTIER:
                 stack.append((depth, *(v[_FRONTIER:] for v in (a0, a1, b0, b1, e, same))))
                 a0, a1, b0, b1, e, same = (v[:_FRONTIER] for v in (a0, a1, b0, b1, e, same))
 
 
-def _cut_links(x: np.ndarray, p: int, q: int, depth: int, budget: int, end: int = 64):
+def _cut_links(x: np.ndarray, p: int, q: int, depth: int, budget: int, end: int = 64, done=None):
     """Links among sorted ``x``: of the cut node ``p`` if ``q`` is the same, else between the two."""
     if p == q:
-        yield from trie_links(x, None, depth, 0, budget, end)
+        yield from trie_links(x, None, depth, 0, budget, end, done)
     else:
         shift = int(np.searchsorted(x, np.uint64(max(p, q) << (64 - depth))))
-        for i, j in trie_links(x[:shift], x[shift:], depth, (p ^ q).bit_count(), budget, end):
+        of_both = done and (lambda a0, a1, b0, b1: done(a0, a1, b0 + shift, b1 + shift))
+        for i, j in trie_links(x[:shift], x[shift:], depth, (p ^ q).bit_count(), budget, end, of_both):
             yield i, j + shift
 
 
@@ -316,10 +329,17 @@ def _window_forest(depth: int, budget: int):
         by = np.argsort(high)
         high, low, nodes = high[by], low[by], rows["node"].to_numpy(np.int64)[by]
         out = _Forest(len(by))
-        for i, j in _cut_links(high >> beyond << beyond, int(key[1]), int(key[2]), depth, budget, _WALKED):
+
+        def link(i, j):
             near = np.bitwise_count(high[i] ^ high[j]) + np.bitwise_count(low[i] ^ low[j]) <= _MOST
             if near.any():
                 out.link(i[near], j[near])
+
+        # neighbours in order first: where many texts are alike, that leaves few pairs to walk
+        for k in range(1, min(len(by), _AHEAD + 1)):
+            link(np.arange(len(by) - k), np.arange(k, len(by)))
+        for i, j in _cut_links(high >> beyond << beyond, int(key[1]), int(key[2]), depth, budget, _WALKED, out.joined):
+            link(i, j)
         child = np.flatnonzero(out.root != np.arange(len(by)))
         return pd.DataFrame({"u": nodes[child], "v": nodes[out.root[child]]})
 

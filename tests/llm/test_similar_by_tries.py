@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from dyadloom.llm import queries, simhash, similar
 
@@ -61,3 +62,34 @@ def test_stage_links_by_tries_alone(spark, monkeypatch):
     none = spark.createDataFrame([], "node long, root long")
     monkeypatch.setattr(simhash, "alike", lambda nodes: none)
     assert sorted(r.doc_id for r in queries.keep_one_of_each(spark, docs, "").collect()) == [1, 2, 4]
+
+
+def test_equal_members_are_walked_in_bounded_steps():
+    x = np.repeat(np.array([5, 9], np.uint64) << np.uint64(44), [3000, 40])
+    sizes, seen = [], 0
+    pairs = np.zeros((len(x), len(x)), bool)
+    for i, j in simhash.trie_links(x, None, 0, 0, 1, 20):
+        sizes.append(len(i))
+        pairs[i, j] = True
+        seen += len(i)
+    assert max(sizes) <= 1 << 21 and seen == pairs.sum() == 3000 * 2999 // 2 + 40 * 39 // 2
+
+
+def test_cells_of_many_near_copies_lose_no_link():
+    rng = np.random.default_rng(4)
+    base = rng.random((3, 128)) < 0.5
+    near = [base[k] ^ (rng.random((400, 128)) < f) for k, f in enumerate((0.03, 0.08, 0.14))]
+    words = np.packbits(np.concatenate([*near, rng.random((800, 128)) < 0.5]), axis=1).view(">u8").astype(np.uint64)
+    high, low = words[:, 0], words[:, 1].copy()
+    rows = {"high": high.view(np.int64), "low": low.view(np.int64), "node": np.arange(len(high))}
+    links = simhash._window_forest(0, 2)((0, 0, 0), pd.DataFrame(rows))
+    forest = simhash._Forest(len(high))
+    forest.link(links["u"].to_numpy(), links["v"].to_numpy())
+    far = np.bitwise_count(high[:, None] ^ high) + np.bitwise_count(low[:, None] ^ low)
+    walked = np.bitwise_count((high[:, None] ^ high) >> np.uint64(44))
+    i, j = np.nonzero((walked <= 2) & (far <= 32))
+    assert len(i) > 50_000 and (forest.root[i] == forest.root[j]).all()
+    assert len(links) == len(high) - len(np.unique(forest.root))
+    most = simhash._Forest(len(high))
+    most.link(*np.nonzero(far <= 32))
+    assert (most.root[links["u"]] == most.root[links["v"]]).all()  # nothing further apart is linked
