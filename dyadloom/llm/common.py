@@ -9,12 +9,16 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch that are worked on at a time.
+PART = 1 << 21
+
 _own_dir: str | None = None
 
 
@@ -65,7 +69,26 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def arrow_rows(batches: Iterable, *names: str):
-    """The named columns of each Arrow batch as Python lists."""
+def parts(batches: Iterable):
+    """The rows of Arrow batches in slices of at most ``PART`` bytes or of one row, so that
+    what is made of them does not grow with a batch, which holds 10,000 rows of any length."""
     for batch in batches:
-        yield batch, *(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+        left = [batch]
+        del batch  # not held while the next one is read
+        while left:
+            part = left.pop()
+            half = part.num_rows // 2
+            if half and part.nbytes > PART:
+                left += part.slice(half), part.slice(0, half)
+            else:
+                yield part
+        del part
+        pa.default_memory_pool().release_unused()
+
+
+def arrow_rows(batches: Iterable, *names: str):
+    """The named columns as Python lists, those of a part of a batch at a time."""
+    for part in parts(batches):
+        columns = [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
+        del part
+        yield columns

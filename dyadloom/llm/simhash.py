@@ -33,7 +33,9 @@ _BLOCK = 1 << 16
 NODE = 1 << 16
 LEAST_DEPTH = 4
 _LEAF = 32
-_FRONTIER = 1 << 18
+_FRONTIER = 1 << 15
+#: Pairs of members that are compared at once.
+_AT_ONCE = 1 << 18
 
 #: A wide fingerprint's words; tries over it, the bits in which all of a trie agree, the
 #: bits that it walks, and those that may differ in the 128 that begin with them.
@@ -68,7 +70,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def _fingerprints(batches):
-    for _, ids, texts in arrow_rows(batches, "doc_id", "text"):
+    for ids, texts in arrow_rows(batches, "doc_id", "text"):
         fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
 
@@ -128,7 +130,7 @@ def _pairs(a0, a1, b0, b1):
     start = 0
     while start < len(size):
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + (1 << 21), side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + _AT_ONCE, side="right")))
         s = size[start:stop]
         which = np.repeat(np.arange(start, stop), s)
         k = np.arange(s.sum()) - np.repeat(np.cumsum(s) - s, s)
@@ -142,7 +144,8 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, depth: int, err: int, budget
 
     Both are equal in their ``depth`` leading bits but for ``err`` of them, and have no
     bits after the first ``end``; equal members beyond that are halved by place. Yields
-    arrays (i, j) of members within ``budget``; memory is bounded by the frontier.
+    arrays (i, j) of members within ``budget``; memory is bounded by ``_FRONTIER`` node
+    pairs a level and ``_AT_ONCE`` pairs of members.
     ``done(a0, a1, b0, b1)`` says which pairs of nodes need no walk any more.
     """
     own = b is None
@@ -307,7 +310,7 @@ def wide_fingerprint(h: np.ndarray) -> bytes:
 
 def _windows(batches):
     """A row for each trie of each wide fingerprint: the trie's cell, and its 128 bits but for the cell's."""
-    for _, ids, prints in arrow_rows(batches, "node", "wide"):
+    for ids, prints in arrow_rows(batches, "node", "wide"):
         for k in range(0, len(ids), 1 << 10):
             wide = b"".join(prints[k : k + (1 << 10)])
             n = [len(p) // (8 * WORDS) for p in prints[k : k + (1 << 10)]]

@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: Bounds of the labelled sample that is learned from: texts of each class, bytes of one.
 TOXIC_SAMPLE, ORDINARY_SAMPLE, SAMPLE_BYTES = 1500, 4500, 64 << 10
 #: Bytes of the strings compared; a shorter match saves nothing.
@@ -274,9 +276,12 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         own = Comparer(model.toxic, model.ordinary) if model.toxic else None
-        for batch in batches:
-            texts = pc.cast(batch.column(place), pa.binary())
+
+        def kept(part):
+            texts = pc.cast(part.column(place), pa.binary())
             found = np.array([own.evidence(t.as_py() or b"") if own else (0.0,) * 4 for t in texts]).reshape(-1, 4)
-            yield batch.filter(pa.array(model.scores(found) < CUT))
+            return part.filter(pa.array(model.scores(found) < CUT))
+
+        yield from map(kept, parts(batches))
 
     return docs.mapInArrow(run, schema)
