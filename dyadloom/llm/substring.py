@@ -16,9 +16,14 @@ compared by 128 bits over the names of their words. Inside a run no symbol's
 range fits into a window, so such windows are compared too.
 
 Messages between stages are packed: documents travel as compressed batches, names as
-one array for each (bucket, batch), answers as one bit a name. A name is sent once for
+one array for each (bucket, batch), answers as one bit a name or as compressed
+distances of starts. A name is sent once for
 each batch, however often it occurs, so a passage that a third of the corpus holds
 loads no task more than another.
+
+Answers meet by batch before they are written, so a round writes a file for ``ANSWERS``
+bytes of text and not one for each task: on a local or mounted folder Hadoop starts a
+process for each file, which until its exec shares all memory of the executor's JVM.
 """
 
 from __future__ import annotations
@@ -34,11 +39,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, settle
+from .common import mix64, parts, settle
 
 #: Bytes of text in a batch, and of text for each bucket of names.
 BATCH = 4 << 20
 BUCKET = 8 << 20
+#: Bytes of text whose answers are one file.
+ANSWERS = 128 << 20
 LEAST_BUCKETS = 6
 ROUNDS = 3
 #: Rounds after which symbols are counted. The first leaves pairs of common words, most
@@ -48,7 +55,11 @@ COUNTED = (1, 2)
 KEY = b"dyadloom words"
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _NONE = np.iinfo(np.int64).max
-_FAR = np.int64(1) << np.int64(60)
+
+
+def _far(kind) -> int:
+    """A word's number beyond any that ``kind`` is used for; twice that still fits."""
+    return int(np.iinfo(kind).max) // 4
 
 
 # --- batches of documents -------------------------------------------------------
@@ -79,7 +90,7 @@ def _pack(batches):
     def row():
         return pa.RecordBatch.from_arrays([pa.array([part << 32 | count]), pa.array([size]), pa.array([_packed(held)], pa.binary())], ["batch", "n_bytes", "blob"])
 
-    for batch in batches:
+    for batch in parts(batches):
         ids, texts = batch.column(0).to_pylist(), pc.cast(batch.column(1), pa.binary())
         for i, t in zip(ids, texts):
             t = t.as_py() or b""
@@ -116,6 +127,16 @@ def _word_names(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
+def _words(texts: list[bytes]) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """Names of the distinct words, and for every word which of them it is and its document."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))  # with empty words at the ends of texts
+    words = lists.flatten()
+    some = np.asarray(pc.binary_length(words)) > 0
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), lists.value_lengths().to_numpy())[some]
+    coded = words.filter(pa.array(some)).dictionary_encode()
+    return _word_names(coded.dictionary), coded.indices.to_numpy().copy(), of  # a copy, as Arrow's memory goes
+
+
 def _spans(names: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
     """Name of names[i : i + width] for every i at which it fits, by doubling."""
     if len(names) < width:
@@ -141,15 +162,16 @@ def _joined(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
 
 
 class _Symbols:
-    """A round's symbols over the words of a batch: name, first word, range of words that
-    it depends on, document, and whether it may still be part of a repeat."""
+    """A round's symbols over the words of a batch: name, range of words that it depends
+    on, document, and whether it may still be part of a repeat."""
 
-    def __init__(self, name, at, lo, hi, doc, live):
-        self.name, self.at, self.lo, self.hi, self.doc, self.live = name, at, lo, hi, doc, live
+    def __init__(self, name, lo, hi, doc, live):
+        self.name, self.lo, self.hi, self.doc, self.live = name, lo, hi, doc, live
 
     def _beside(self) -> tuple[np.ndarray, np.ndarray]:
         """The ranges' ends of the symbols before and after, beyond reach at an edge."""
-        before, after = np.full(len(self.at), -_FAR), np.full(len(self.at), _FAR)
+        kind = self.lo.dtype
+        before, after = np.full(len(self.lo), -_far(kind), kind), np.full(len(self.lo), _far(kind), kind)
         same = self.doc[1:] == self.doc[:-1]
         before[1:][same], after[:-1][same] = self.lo[:-1][same], self.hi[1:][same]
         return before, after
@@ -161,11 +183,11 @@ class _Symbols:
         begins[1:] = (self.name[1:] != self.name[:-1]) | (self.doc[1:] != self.doc[:-1]) | ~self.live[1:] | ~self.live[:-1]
         first = np.flatnonzero(begins)
         last = np.append(first[1:], n) - 1 if n else first
-        length = (last - first + 1).astype(np.uint64)
+        runs = np.flatnonzero(last > first)
+        name = self.name[first]
+        name[runs] = _joined(name[runs], (last[runs] - first[runs] + 1).astype(np.uint64), salt)
         before, after = self._beside()
-        name, runs = self.name[first], np.flatnonzero(length > 1)
-        name[runs] = _joined(name[runs], length[runs], salt)
-        return _Symbols(name, self.at[first], np.minimum(self.lo[first], before[first]), np.maximum(self.hi[last], after[last]), self.doc[first], self.live[first])
+        return _Symbols(name, np.minimum(self.lo[first], before[first]), np.maximum(self.hi[last], after[last]), self.doc[first], self.live[first])
 
     def paired(self, salt: int) -> _Symbols:
         """Every neighbour pair of a first and a second class as one symbol."""
@@ -183,7 +205,7 @@ class _Symbols:
         name[k] = _joined(self.name[k], self.name[k + 1], salt)
         lo[k], hi[k] = np.minimum(self.lo[k], self.lo[k + 1]), np.maximum(self.hi[k], self.hi[k + 1])
         keep = ~ends
-        return _Symbols(name[keep], self.at[keep], lo[keep], hi[keep], self.doc[keep], live[keep])
+        return _Symbols(name[keep], lo[keep], hi[keep], self.doc[keep], live[keep])
 
     def units(self, width: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(key, lo, hi, symbol) of what is counted: live symbols whose range a window can
@@ -205,20 +227,17 @@ class _Batch:
 
     def __init__(self, blob: bytes, width: int, answers: list[dict[int, bytes]], n_buckets: int):
         self.ids, self.texts = _unpacked(blob)
-        lists = pc.ascii_split_whitespace(pa.array(self.texts, pa.string()))  # with empty words at the ends of texts
-        words = lists.flatten()
-        some = np.asarray(pc.binary_length(words)) > 0
-        of = np.repeat(np.arange(len(self.texts)), lists.value_lengths().to_numpy())[some]
-        self.first = np.searchsorted(of, np.arange(len(self.texts) + 1))  # of each document, among the words
-        coded = words.filter(pa.array(some)).dictionary_encode()
-        which = coded.indices.to_numpy()
-        self.names = [name[which] for name in _word_names(coded.dictionary)]
-        n = len(which)
-        self.width, self.doc = width, of
-        at = np.arange(n)
-        self.valid = np.flatnonzero(at + width <= self.first[1:][self.doc])  # where windows start
-        self.alone = np.full(n + 1, _FAR)  # least end of a range that starts here and occurs once
-        now = _Symbols(self.names[0], at, at, at + 1, self.doc, np.ones(n, bool))
+        self.names, self.which, self.doc = _words(self.texts)
+        pa.default_memory_pool().release_unused()
+        n = len(self.doc)
+        self.width = width
+        kind = np.int32 if n + width < _far(np.int32) else np.int64
+        first = np.searchsorted(self.doc, np.arange(len(self.texts) + 1, dtype=np.int32)).astype(kind)  # of each document, among the words
+        at = np.arange(n, dtype=kind)
+        self.valid = np.flatnonzero(at <= (first[1:] - width)[self.doc]).astype(kind)  # where windows start
+        self.alone = np.full(n + 1, _far(kind), kind)  # least end of a range that starts here and occurs once
+        now = _Symbols(self.names[0][self.which], at, at + 1, self.doc, np.ones(n, bool))
+        del at
         for r in range(ROUNDS):
             now = now.collapsed(4 * r + 1).paired(4 * r + 2)
             if r not in COUNTED:
@@ -237,7 +256,7 @@ class _Batch:
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Names of the distinct windows among the candidates, where each is first, and the
         starts that repeat one of them in this batch."""
-        a, b = (_spans(x, self.width, _BASES[0])[self.starts] for x in self.names)
+        a, b = (_spans(x[self.which], self.width, _BASES[0])[self.starts] for x in self.names)
         order = np.lexsort((b, a))  # stable, and starts ascend: the smallest start comes first
         new = np.ones(len(a), bool)
         new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
@@ -273,29 +292,25 @@ def _rows(names: list[str], types: list, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types)], names)
 
 
-def _known(got) -> list[dict[int, bytes]]:
-    """Answers of the rounds so far, by round and bucket."""
-    out: list[dict[int, bytes]] = []
-    for x in got or ():
-        while len(out) <= x["round"]:
-            out.append({})
-        out[x["round"]][x["bucket"]] = x["bits"]
-    return out
+def _told(row: pa.RecordBatch, done: int) -> list[dict[int, bytes]]:
+    """Answers of the rounds so far to the one batch of a row, by round and bucket."""
+    return [{x["bucket"]: x["bits"] for x in row.column(f"known_{r}")[0].as_py() or ()} for r in range(done)]
 
 
-def _rounds_of(got, done: int) -> list[dict[int, bytes]]:
-    out = _known(got)
-    return out + [{} for _ in range(done - len(out))]
+def _each(batches):
+    """Rows of Arrow batches one at a time: a row is a batch of documents."""
+    for part in parts(batches):
+        for k in range(part.num_rows):
+            yield part.slice(k, 1)
 
 
 def _send_symbols(width: int, n_buckets: int, done: int):
     def send(batches):
-        for batch in batches:
-            known = batch.column("known").to_pylist() if done else [None] * batch.num_rows
-            for k, blob, got in zip(batch.column("batch").to_pylist(), batch.column("blob"), known):
-                key = _Batch(blob.as_py(), width, _rounds_of(got, done), n_buckets).key
-                low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-                yield _rows(["bucket", "batch", "names"], [pa.int64(), pa.int64(), pa.binary()], [(b, k, low[s].tobytes()) for b, s in _by_bucket(key, n_buckets)])
+        for row in _each(batches):
+            k = row.column("batch")[0].as_py()
+            key = _Batch(row.column("blob")[0].as_buffer(), width, _told(row, done), n_buckets).key
+            low = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+            yield _rows(["bucket", "batch", "names"], [pa.int64(), pa.int64(), pa.binary()], [(b, k, low[s].tobytes()) for b, s in _by_bucket(key, n_buckets)])
 
     return send
 
@@ -308,79 +323,82 @@ def _answer(bits: np.ndarray, sizes: list[int], batch: pa.ChunkedArray, bucket:
 
 def _shared(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
     """A bit for each name sent to this bucket: whether another batch sent it too."""
-    parts = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6) for x in t["names"]]
-    sizes = [len(p) for p in parts]
+    sent = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, 6) for x in t["names"]]
+    sizes = [len(p) for p in sent]
     wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :6] = np.concatenate(parts)
+    np.concatenate(sent, out=wide[:, :6])
     _, back, count = np.unique(wide.view("<u8").ravel(), return_inverse=True, return_counts=True)
     return _answer(count[back] > 1, sizes, t["batch"], key[0].as_py())
 
 
-#: The bucket of a message that needs no answer: the repeats a batch found in itself.
-_OWN = -1
+def _packed_starts(starts: np.ndarray) -> bytes:
+    """Distinct starts as compressed distances: those of a repeat follow one another."""
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(np.sort(starts), prepend=starts.dtype.type(0)).astype("<u4").tobytes())
+
+
+def _unpacked_starts(blob: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), "<u4").cumsum(dtype=np.int64)
 
 
 def _send_windows(width: int, n_buckets: int):
     names = ["bucket", "batch", "a", "b", "doc", "tie", "which", "start"]
 
     def send(batches):
-        for batch in batches:
-            for k, blob, got in zip(batch.column("batch").to_pylist(), batch.column("blob"), batch.column("known").to_pylist()):
-                own = _Batch(blob.as_py(), width, _rounds_of(got, len(COUNTED)), n_buckets)
-                a, b, first, again = own.windows()
-                ids, ties = np.array([_NONE if i is None else i for i in own.ids], np.int64), np.array([_tie(t) for t in own.texts], np.int64)
-                doc, start = own.doc[first], first.astype("<u4")
-                rows = []
-                for x, s in _by_bucket(a, n_buckets):
-                    some, which = np.unique(doc[s], return_inverse=True)  # documents once a message: a batch has 2^16 at most
-                    rows.append((x, k, a[s].tobytes(), b[s].tobytes(), ids[some].tobytes(), ties[some].tobytes(), which.astype("<u2").tobytes(), start[s].tobytes()))
-                rows.append((_OWN - k, k, b"", b"", b"", b"", b"", again.astype("<u4").tobytes()))
-                yield _rows(names, [pa.int64(), pa.int64(), *[pa.binary()] * 6], rows)
+        for row in _each(batches):
+            k = row.column("batch")[0].as_py()
+            own = _Batch(row.column("blob")[0].as_buffer(), width, _told(row, len(COUNTED)), n_buckets)
+            a, b, first, again = own.windows()
+            ids, ties = np.array([_NONE if i is None else i for i in own.ids], np.int64), np.array([_tie(t) for t in own.texts], np.int64)
+            doc, start = own.doc[first], first.astype("<u4")
+            del own
+            rows = []
+            for x, s in _by_bucket(a, n_buckets):
+                some, which = np.unique(doc[s], return_inverse=True)  # documents once a message: a batch has 2^16 at most
+                rows.append((x, k, a[s].tobytes(), b[s].tobytes(), ids[some].tobytes(), ties[some].tobytes(), which.astype("<u2").tobytes(), start[s].tobytes()))
+            rows.append((k % n_buckets, k, b"", b"", b"", b"", b"", _packed_starts(again)))  # repeats it has in itself, known already
+            yield _rows(names, [pa.int64(), pa.int64(), *[pa.binary()] * 6], rows)
 
     return send
 
 
 def _later(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    """(batch, starts): the windows sent to this bucket that another batch has earlier."""
-    bucket = key[0].as_py()
-    if bucket <= _OWN:
-        return pa.table({"batch": t["batch"], "bucket": t["bucket"], "bits": t["start"]})
-    read = lambda c, kind: [np.frombuffer(x.as_py(), kind) for x in t[c]]
-    parts = read("a", "<u8")
-    sizes = [len(p) for p in parts]
-    a, b, which = np.concatenate(parts), np.concatenate(read("b", "<u8")), read("which", "<u2")
+    """(batch, starts): the windows sent to this bucket that another batch has earlier, and
+    the starts that came without windows as they came."""
+    read = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in t[c]]
+    sent = read("a", "<u8")
+    sizes = [len(p) for p in sent]
+    a, b, which = np.concatenate(sent), np.concatenate(read("b", "<u8")), read("which", "<u2")
     doc, tie = (np.concatenate([d[w] for d, w in zip(read(c, "<i8"), which)]) for c in ("doc", "tie"))
     batch = np.repeat(t["batch"].to_numpy(), sizes)
     order = np.lexsort((batch, tie, doc, b, a))
     later = np.zeros(len(a), bool)
     later[order[1:]] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
     ends = np.cumsum(sizes)
-    out = [start[later[e - n : e]].tobytes() for start, e, n in zip(read("start", "<u4"), ends, sizes)]
-    return pa.table({"batch": t["batch"], "bucket": pa.array([bucket] * len(out), pa.int64()), "bits": pa.array(out, pa.binary())})
+    out = [_packed_starts(np.frombuffer(x.as_buffer(), "<u4")[later[e - n : e]]) if n else x.as_py() for x, e, n in zip(t["start"], ends, sizes)]
+    return pa.table({"batch": t["batch"], "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "bits": pa.array(out, pa.binary())})
 
 
 def _keep(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def keep(batches):
-        for batch in batches:
-            for blob, got in zip(batch.column("blob"), batch.column("known").to_pylist()):
-                ids, texts = _unpacked(blob.as_py())
-                split = [t.split() for t in texts]
-                first = np.cumsum([0, *map(len, split)])
-                cover = np.zeros(int(first[-1]) + 1, np.int32)
-                for x in got or ():
-                    starts = np.frombuffer(x["bits"], "<u4").astype(np.int64)
-                    cover[starts] += 1  # a start is named once in all answers
-                    cover[starts + width] -= 1
-                gone = cover.cumsum()[:-1] > 0
-                out = []
-                for i, words, lo, hi in zip(ids, split, first, first[1:]):
-                    n = int(gone[lo:hi].sum())
-                    if n:
-                        words = [words[j] for j in np.flatnonzero(~gone[lo:hi])]
-                    out.append((i, int(hi - lo), n, b" ".join(words)))
-                yield _rows(schema.names, schema.types, out)
+        for row in _each(batches):
+            ids, texts = _unpacked(row.column("blob")[0].as_buffer())
+            split = [t.split() for t in texts]
+            first = np.cumsum([0, *map(len, split)])
+            cover = np.zeros(int(first[-1]) + 1, np.int32)
+            for x in row.column("known_0")[0].as_py() or ():
+                starts = _unpacked_starts(x["bits"])
+                cover[starts] += 1  # a start is named once in all answers
+                cover[starts + width] -= 1
+            gone = cover.cumsum()[:-1] > 0
+            out = []
+            for i, words, lo, hi in zip(ids, split, first, first[1:]):
+                n = int(gone[lo:hi].sum())
+                if n:
+                    words = [words[j] for j in np.flatnonzero(~gone[lo:hi])]
+                out.append((i, int(hi - lo), n, b" ".join(words)))
+            yield _rows(schema.names, schema.types, out)
 
     return keep
 
@@ -410,22 +428,24 @@ def without_repeats(docs: DataFrame, width: int = 20) -> DataFrame:
     n_buckets = max(LEAST_BUCKETS, -(-n_bytes // BUCKET))
     blobs = packs.select("batch", "blob")
 
-    def known(answers: DataFrame | None) -> DataFrame:
-        if answers is None:
-            return blobs
-        told = answers.groupBy("batch").agg(F.collect_list(F.struct("round", "bucket", "bits")).alias("known"))
-        return blobs.join(told, "batch", "left")
+    n_files = max(1, -(-n_bytes // ANSWERS))
+
+    def known(answers: list[DataFrame]) -> DataFrame:
+        out = blobs
+        for r, told in enumerate(answers):
+            out = out.join(told.withColumnRenamed("known", f"known_{r}"), "batch", "left")
+        return out
 
     def told(sent: DataFrame, answer, r: int) -> DataFrame:
-        out = settle(sent.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, bits binary"), f"round-{r}").withColumn("round", F.lit(r))
+        rows = sent.groupBy("bucket").applyInArrow(answer, "batch long, bucket long, bits binary").repartition(n_files, "batch")
+        out = settle(rows.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("known")), f"round-{r}")
         _free(spark)
         return out
 
-    answers = None
+    answers: list[DataFrame] = []
     for r in range(len(COUNTED)):
         sent = known(answers).mapInArrow(_send_symbols(width, n_buckets, r), "bucket long, batch long, names binary")
-        more = told(sent, _shared, r)
-        answers = more if answers is None else answers.unionByName(more)
+        answers.append(told(sent, _shared, r))
     sent = known(answers).mapInArrow(_send_windows(width, n_buckets), "bucket long, batch long, a binary, b binary, doc binary, tie binary, which binary, start binary")
-    rows = known(told(sent, _later, len(COUNTED))).mapInArrow(_keep(width), "doc_id long, n_words long, n_removed long, kept binary")
+    rows = known([told(sent, _later, len(COUNTED))]).mapInArrow(_keep(width), "doc_id long, n_words long, n_removed long, kept binary")
     return rows.withColumn("kept", F.col("kept").cast("string"))

@@ -1,6 +1,7 @@
 """What a Python worker holds follows neither the bytes of an Arrow batch nor the pairs of a cell."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from dyadloom.llm import common, similar, simhash, toxicity
+from dyadloom.llm import common, similar, simhash, substring, toxicity
 
 
 def _peak(work):
@@ -59,3 +60,28 @@ def test_walk_of_a_cell_holds_few_pairs():
     rows = pd.DataFrame({"high": words[:, 0], "low": words[:, 1], "node": np.arange(len(words))})
     _, peak = _peak(lambda: simhash._window_forest(0, 2)((0, 0, 0), rows))
     assert peak < 50
+
+
+def test_words_of_a_full_batch_of_texts():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in np.minimum(rng.zipf(1.3, 1000), 50_000)).encode() for _ in range(660)]
+    blob = substring._packed(list(enumerate(texts)))
+    got, peak = _peak(lambda: substring._Batch(blob, 20, [{}] * len(substring.COUNTED), 64))
+    assert len(got.doc) == 660_000 and got.ids == list(range(660))
+    assert peak < 90
+
+
+def test_a_round_of_few_bytes_writes_one_file(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        there = set(Path(common.shared_dir(spark)).glob("round-*"))
+        text = [" ".join(f"w{k * k % 997}" for k in range(a, a + 300)) for a in range(0, 4000, 100)]
+        docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(5)
+        assert {r.n_words for r in substring.without_repeats(docs).collect()} == {300}
+        rounds = set(Path(common.shared_dir(spark)).glob("round-*")) - there
+        assert len(rounds) == len(substring.COUNTED) + 1
+        assert [len(list(p.glob("part-*"))) for p in rounds] == [1] * len(rounds)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
